@@ -44,7 +44,7 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     one are taken as one document.  Rows without an id hold no lines that count.
     """
     spark = docs.sparkSession
-    lines = _keyed_lines(docs.where(F.col("doc_id").isNotNull()), min_chars)
+    lines = checkpointed(_keyed_lines(docs.where(F.col("doc_id").isNotNull()), min_chars))  # read three times below
 
     totals = lines.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"))
     # Most keys have one line: keep what can be hot, and the overall count, in one pass.

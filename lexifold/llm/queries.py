@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, line_dedup, sharding, url_filter
+from . import bpe, fingerprints, line_dedup, sharding, simhash, url_filter
 from .common import table
 
 
@@ -75,6 +75,10 @@ GROUP BY p.n, p.page_id, p.host, p.path
 """
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.query_components(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.document_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -88,6 +92,7 @@ def queries() -> dict[str, Query]:
         "op1_line_dedup": op1_line_dedup,
         "op3_url_filters": op3_url_filters,
         "op4_sharding": op4_sharding,
+        "op5_simhash": op5_simhash,
         "op9_fingerprints": op9_fingerprints,
         "op10_bpe": op10_bpe,
     }
