@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, line_dedup, sharding, simhash, url_filter
+from . import bpe, fingerprints, language_id, line_dedup, sharding, simhash, url_filter
 from .common import table
 
 
@@ -79,6 +79,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query_components(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.query(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.document_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -93,6 +97,7 @@ def queries() -> dict[str, Query]:
         "op3_url_filters": op3_url_filters,
         "op4_sharding": op4_sharding,
         "op5_simhash": op5_simhash,
+        "op6_language_id": op6_language_id,
         "op9_fingerprints": op9_fingerprints,
         "op10_bpe": op10_bpe,
     }
