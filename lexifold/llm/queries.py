@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_id, line_dedup, sharding, simhash, url_filter
+from . import bpe, fingerprints, language_id, line_dedup, sharding, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
@@ -94,6 +98,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_toxicity": op2_toxicity,
         "op3_url_filters": op3_url_filters,
         "op4_sharding": op4_sharding,
         "op5_simhash": op5_simhash,

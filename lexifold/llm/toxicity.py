@@ -32,14 +32,14 @@ _WORDS = re.compile(r"\w+")
 WINDOW = 24
 STRIDE = 12
 #: Rows of each label that are learnt from at most, and the longest text among them in code points.
-SAMPLE = 1_500
+SAMPLE = 2_000
 SAMPLE_CHARS = 12_000
 #: A text is called toxic from this score on.
 THRESHOLD = 0.3
 CHARS, BUCKETS = 512, 1 << 13
 #: Characters that are read of a word at once; longer words are read in parts that overlap by half.
 WORD_CHARS = 16
-CACHE = 300_000
+CACHE = 500_000
 F32 = np.float32
 
 
@@ -133,21 +133,21 @@ class ToxicityModel:
 
     @staticmethod
     def spell(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Characters (rows, WORD_CHARS), mask, and the word each row is of."""
-        rows, owner = [], []
-        for i, w in enumerate(words):
-            for at in range(0, max(1, len(w) - WORD_CHARS // 2), WORD_CHARS // 2) if len(w) > WORD_CHARS else (0,):
-                rows.append([ord(c) % (CHARS - 1) + 1 for c in w[at : at + WORD_CHARS]])
-                owner.append(i)
-        ids = np.zeros((len(rows), WORD_CHARS), np.int64)
-        for i, r in enumerate(rows):
-            ids[i, : len(r)] = r
-        return ids, (ids > 0).astype(F32), np.array(owner)
+        """Characters (rows, longest part), mask, and the word each row is of."""
+        half = WORD_CHARS // 2
+        parts = [[w] if len(w) <= WORD_CHARS else [w[i : i + WORD_CHARS] for i in range(0, len(w) - half, half)] for w in words]
+        owner = np.repeat(np.arange(len(words)), [len(p) for p in parts])
+        flat = [x for p in parts for x in p]
+        lengths = np.array([len(x) for x in flat], np.int64)
+        mask = np.arange(max(1, lengths.max(initial=1))) < lengths[:, None]
+        ids = np.zeros(mask.shape, np.int64)
+        ids[mask] = np.frombuffer("".join(flat).encode("utf-32-le", "surrogatepass"), "<u4") % (CHARS - 1) + 1
+        return ids, mask.astype(F32), owner
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """The upper level's inputs for words: what the lower level reads, and the hashed word."""
         ids, mask, owner = self.spell(words)
-        read = self.chars.run(self.chars.project(self.p["char"][ids]), mask)
+        read = self.chars.run(self.chars.project(self.p["char"])[ids], mask)
         # The part of a long word with the largest state stands for it.
         first = np.searchsorted(owner, np.arange(len(words)))
         spelt = np.maximum.reduceat(read, first) if len(words) else np.zeros((0, 2 * self.hidden), F32)
@@ -183,8 +183,9 @@ class Scorer:
             self.known.clear()
             self.table = self.table[:1]
             new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        new.sort(key=len)  # words of like length are read together
+        for at in range(0, len(new), 4_000):
+            part = new[at : at + 4_000]
             start = len(self.known) + 1
             if start + len(part) > len(self.table):
                 grown = np.zeros((max(2 * len(self.table), start + len(part)), self.table.shape[1]), F32)
@@ -224,7 +225,7 @@ class Scorer:
         return out
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 0.01, seed: int = 0) -> ToxicityModel:
+def fit(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.01, seed: int = 0) -> ToxicityModel:
     """A model of ``texts`` and their ``labels``; a fifth of them is kept back to scale the scores."""
     rng = np.random.default_rng(seed)
     model = ToxicityModel(rng)
