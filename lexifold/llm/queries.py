@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_id, line_dedup, sharding, simhash, toxicity, url_filter
+from . import bpe, fingerprints, language_id, line_dedup, mixing, neighbours, sharding, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -87,6 +87,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.query(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    dealt = mixing.with_copies(docs, entropy=0.95, repeat=2.0)
+    return dealt.select("doc_id", "source", mixing.n_tokens(F.col("text")).alias("n_tokens"), "weight", "copies")
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.document_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -103,6 +113,8 @@ def queries() -> dict[str, Query]:
         "op4_sharding": op4_sharding,
         "op5_simhash": op5_simhash,
         "op6_language_id": op6_language_id,
+        "op7_mixing": op7_mixing,
+        "op8_neighbours": op8_neighbours,
         "op9_fingerprints": op9_fingerprints,
         "op10_bpe": op10_bpe,
     }

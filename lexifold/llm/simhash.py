@@ -121,3 +121,92 @@ def near_components(docs: DataFrame, size: int = 3) -> DataFrame:
 def query_components(docs: DataFrame) -> DataFrame:
     found = near_components(docs, 3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For near duplicates by text: bits in which the prints of the sets of words may differ, prints of
+#: a text, and how many rows before it a row of a bucket is compared with besides the bucket's first.
+RADIUS, PRINTS, BEFORE = 4, 2, 2
+
+
+def _prints(docs: DataFrame) -> DataFrame:
+    """(doc_id, exact, fp0, fp1): a digest of the word sequence and two prints of the set of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        rows = np.empty((1 << 18, PRINTS), np.uint64)
+        for batch in batches:
+            exact, fps = [], []
+            for t in batch.column("text").to_pylist():
+                words = words_of(t)
+                exact.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
+                own = set(words)
+                if len(known) + len(own) > len(rows):
+                    known.clear()
+                if len(own) > len(rows):
+                    hashes = np.array([[xxhash.xxh64_intdigest(w, SEED + i) for i in range(PRINTS)] for w in own], np.uint64)
+                else:
+                    for w in own:
+                        if w not in known:
+                            rows[len(known)] = [xxhash.xxh64_intdigest(w, SEED + i) for i in range(PRINTS)]
+                            known[w] = len(known)
+                    hashes = rows[[known[w] for w in own]]
+                fps.append([majority(hashes[:, i]) if own else 0 for i in range(PRINTS)])
+            columns = [_signed([f[i] for f in fps]) for i in range(PRINTS)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(exact, pa.string()), *columns], ["doc_id", "exact", *(f"fp{i}" for i in range(PRINTS))])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, exact string, " + ", ".join(f"fp{i} long" for i in range(PRINTS)))
+
+
+def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, runs array<int>): the set of 32-bit hashes of the shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.array([xxhash.xxh32_intdigest(s) for s in shingles(words_of(t), size)], np.uint32).view(np.int32)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "runs"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, runs array<int>")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, group_id) of all rows with an id; group_id is the smallest id of a group of near duplicates.
+
+    Texts are near duplicates if the sets of their ``size``-word shingles have a Jaccard similarity of
+    ``similarity`` or more; groups are connected.  Copies (the same sequence of words, none included)
+    are one text.  Candidates are texts of which one of the ``PRINTS`` SimHash prints of their sets of
+    words differ in no more than ``radius`` bits, which covering masks find for certain.  In a bucket
+    each text is compared with the first one and with the ``BEFORE`` before it, in an order that
+    differs from table to table, so the work grows with the bucket and not with its square.
+    """
+    prints = checkpointed(_prints(docs.where(F.col("doc_id").isNotNull())))
+    fps = [f"fp{i}" for i in range(PRINTS)]
+    texts = checkpointed(prints.groupBy("exact").agg(F.min("doc_id").alias("text_id"), *(F.first(f).alias(f) for f in fps)))
+
+    masks = covering_masks(radius)
+    tables = F.explode(F.array(*(F.struct(F.lit(i).alias("nth"), F.lit(m).cast("long").alias("mask"), F.col(f).alias("fp")) for i, f in enumerate(fps) for m in masks)))
+    rows = texts.select("text_id", tables.alias("t")).select("text_id", "t.*").withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    rows = rows.withColumn("_at", F.xxhash64("mask", "text_id"))
+    bucket = Window.partitionBy("nth", "mask", "key").orderBy("_at", "text_id")
+    other = F.struct("text_id", "fp")
+    rows = rows.withColumns({"_first": F.first(other).over(bucket), **{f"_before{i}": F.lag(other, i + 1).over(bucket) for i in range(BEFORE)}})
+    others = F.array("_first", *(f"_before{i}" for i in range(BEFORE)))
+    pairs = rows.where("_before0 is not null").withColumn("o", F.explode(others)).where((F.col("o.text_id") != F.col("text_id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("o.fp"))) <= radius))
+    pairs = checkpointed(pairs.select(F.greatest("text_id", "o.text_id").alias("a"), F.least("text_id", "o.text_id").alias("b")).distinct())
+
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = checkpointed(_shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), size))
+    left, right = sets.select(F.col("doc_id").alias("a"), F.col("runs").alias("a_runs")), sets.select(F.col("doc_id").alias("b"), F.col("runs").alias("b_runs"))
+    compared = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("a_runs", "b_runs")))
+    links = compared.where(F.col("both") >= similarity * (F.size("a_runs") + F.size("b_runs") - F.col("both"))).where("both > 0")
+    roots = components(checkpointed(links.select("a", "b")))
+    groups = texts.join(roots, texts.text_id == roots.node, "left").select("exact", F.coalesce("root", "text_id").alias("group_id"))
+    return prints.select("doc_id", "exact").join(groups, "exact").select("doc_id", "group_id")
+
+
+def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without near duplicates: of each group the row with the smallest id stays.
+
+    Rows without an id stay; rows that share an id stay or go together.
+    """
+    gone = checkpointed(near_duplicates(docs, **options).where("doc_id <> group_id").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

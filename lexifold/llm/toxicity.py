@@ -225,7 +225,7 @@ class Scorer:
         return out
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.01, seed: int = 0) -> ToxicityModel:
+def fit(texts: list[str], labels: list[int], epochs: int | None = None, rate: float = 0.01, seed: int = 0) -> ToxicityModel:
     """A model of ``texts`` and their ``labels``; a fifth of them is kept back to scale the scores."""
     rng = np.random.default_rng(seed)
     model = ToxicityModel(rng)
@@ -236,8 +236,9 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.01
     for i in learnt:
         seen[labels[i]].update(set(split[i]))
     total = {y: sum(labels[i] == y for i in learnt) + 1 for y in (0, 1)}
-    telling = {w: np.log((n + 0.1) / total[1]) - np.log((seen[0][w] + 1.0) / total[0]) for w, n in seen[1].items() if n >= 5}
+    telling = {w: np.log((n + 0.1) / total[1]) - np.log((seen[0][w] + 1.0) / total[0]) for w, n in seen[1].items() if n >= 3}
     adam = _Adam(model, rate)
+    epochs = epochs or int(np.clip(20_000 // max(1, len(learnt)), 6, 40))  # small samples are read more often
     for epoch in range(epochs):
         worst: dict[int, int] = {}
         if epoch:
