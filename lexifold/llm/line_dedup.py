@@ -70,17 +70,37 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     return words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
 
 
-def with_kept_text(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``; null and empty texts are one empty line."""
-    bitmaps = drop_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("_doc"), F.col("dropped").alias("_dropped"))
-    joined = docs.join(bitmaps, F.col("doc_id") == F.col("_doc"), "left")
+def _with_bitmaps(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    bitmaps = drop_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs).select(F.col("doc_id").alias("_doc"), F.col("dropped").alias("_dropped"))
+    return docs.join(bitmaps, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+
+
+def _kept():
+    """The text without the lines that ``_dropped`` marks."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n", -1)
     bits = lambda i: F.coalesce(F.try_element_at("_dropped", F.shiftright(i, 6)), F.lit(0).cast("long"))
-    kept = F.filter(lines, lambda line, i: F.getbit(bits(i), i % 64) == 0)
+    kept = F.filter(F.split(text, "\n", -1), lambda line, i: F.getbit(bits(i), i % 64) == 0)
+    return F.when(F.col("_dropped").isNull(), text).otherwise(F.array_join(kept, "\n"))
+
+
+def with_kept_text(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``; columns of these names are replaced.
+
+    Null and empty texts are one empty line; an empty table gives an empty result.
+    """
+    joined = _with_bitmaps(docs, min_chars, min_docs)
+    text = F.coalesce(F.col("text"), F.lit(""))
     n_dropped = F.aggregate(F.map_values("_dropped"), F.lit(0).cast("long"), lambda acc, w: acc + F.bit_count(w))
     return joined.withColumns({
-        "kept_text": F.when(F.col("_dropped").isNull(), text).otherwise(F.array_join(kept, "\n")),
+        "kept_text": _kept(),
         "n_lines": (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
         "n_dropped": F.when(F.col("_dropped").isNull(), F.lit(0).cast("long")).otherwise(n_dropped),
-    }).drop("_doc", "_dropped")
+    }).drop("_dropped")
+
+
+def without_shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """``docs`` with the same columns, ``text`` (and ``n_chars``, where it is there) being what is left; no row goes."""
+    out = _with_bitmaps(docs, min_chars, min_docs).withColumn("text", _kept())
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

@@ -135,13 +135,16 @@ def with_copies(docs: DataFrame, entropy: float = 0.95, repeat: float = 2.0, bud
     that share an id have the same number of copies.  An empty table gives an empty result.
     """
     cuts = checkpointed(plan(docs, entropy, repeat, budget, seed))
-    placed = _with_places(_by_source(docs.drop("copies", "weight"), cuts), F.col("blocks"), seed)
-    before = F.when(F.col("cut_order").isNull(), False).otherwise((F.col("_order") < F.col("cut_order")) | ((F.col("_order") == F.col("cut_order")) & F.coalesce(F.col("_place") <= F.col("cut_place"), F.lit(False))))
-    return placed.withColumn("copies", F.col("passes") + before.cast("int")).drop("_block", "_place", "_order", "blocks", "passes", "cut_order", "cut_place")
+    facts = cuts.select("source", *(F.col(c).alias(f"_mix_{c}") for c in cuts.columns if c != "source"))
+    placed = _with_places(_by_source(docs.drop("copies", "weight"), facts), F.col("_mix_blocks"), seed)
+    cut, inside = F.col("_order") == F.col("_mix_cut_order"), F.coalesce(F.col("_place") <= F.col("_mix_cut_place"), F.lit(False))
+    before = F.coalesce((F.col("_order") < F.col("_mix_cut_order")) | (cut & inside), F.lit(False))
+    dealt = placed.withColumns({"weight": F.col("_mix_weight"), "copies": F.col("_mix_passes") + before.cast("int")})
+    return dealt.drop("_block", "_place", "_order", *(c for c in facts.columns if c != "source"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture: every row of ``docs`` as often as it has copies, with the columns of ``docs``."""
     columns = docs.columns
-    dealt = with_copies(docs, **options).where("copies > 0")
-    return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    count = with_copies(docs.select("*", F.struct(*columns).alias("_row")), **options).where("copies > 0")
+    return count.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
