@@ -35,7 +35,8 @@ def decompose(text: Column) -> Column:
 
 _OPEN, _CLOSE = r"""(^|[\s"'`(\[{<=:])""", r"""(?=$|[\s"'`)\]}>,.;:])"""
 _KEY_NAMES = "api_key|apikey|api-key|token|secret|password|access_token|auth_token"
-_TOKENS = r"sk-[^\s,;]{14,}|sk_(?:live|test)_[^\s,;]*|(?:gh[pousr]_|github_pat_)[^\s,;]{7,}|AIza[^\s,;]{13,}|(?:AKIA|ASIA)[^\s,;]{12,}"
+_CORE = r"""[^\s,;"'`()\[\]{}<>]"""
+_TOKENS = rf"sk-{_CORE}{{14,}}|sk_(?:live|test)_{_CORE}*|(?:gh[pousr]_|github_pat_){_CORE}{{7,}}|AIza{_CORE}{{13,}}|(?:AKIA|ASIA){_CORE}{{12,}}"
 
 
 def redact(text: Column) -> Column:

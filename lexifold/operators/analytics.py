@@ -122,18 +122,21 @@ def latency_percentiles(samples: DataFrame, value: str, by: str, at: Sequence[fl
     Ranks are numbered inside narrow ranges of the value, so no group is sorted in one task: a range
     keeps its count, and only the range that holds the wanted rank is looked into.
     """
-    spread = samples.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"))
-    bounds = spread.groupBy(by).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
+    spread = samples.where(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(value).cast("double").alias("v"))
+    bounds = spread.groupBy("_by").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
     cell = F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * 1000)).otherwise(0)
-    celled = spread.join(bounds, by).withColumn("cell", cell)
-    counts = celled.groupBy(by, "cell").agg(F.count(F.lit(1)).alias("c"))
-    before = counts.withColumn("before", F.sum("c").over(Window.partitionBy(by).orderBy("cell")) - F.col("c"))
-    wanted = bounds.select(by, "high", "n", F.explode(F.array(*(F.struct(F.lit(f"p{round(q * 100)}").alias("name"), F.floor((F.col("n") - 1) * q).alias("k")) for q in at))).alias("w")).select(by, "high", "n", "w.*")
-    cells = wanted.join(before, by).where((F.col("k") >= F.col("before")) & (F.col("k") < F.col("before") + F.col("c")))
-    inside = celled.select(by, "cell", "v").join(cells.select(by, "cell", "before").distinct(), [by, "cell"]).withColumn("i", F.row_number().over(Window.partitionBy(by, "cell").orderBy("v")) - 1 + F.col("before"))
-    found = cells.join(inside.select(by, F.col("i").alias("k"), "v"), [by, "k"])
-    out = found.groupBy(by, "n", F.col("high").alias("max")).agg(*(F.max(F.when(F.col("name") == f"p{round(q * 100)}", F.col("v"))).alias(f"p{round(q * 100)}") for q in at))
-    return out
+    celled = spread.join(bounds, "_by").withColumn("cell", cell)
+    counts = celled.groupBy("_by", "cell").agg(F.count(F.lit(1)).alias("c"))
+    before = counts.withColumn("before", F.sum("c").over(Window.partitionBy("_by").orderBy("cell")) - F.col("c"))
+    names = {q: f"p{round(q * 100)}" for q in at}
+    asked = F.array(*(F.struct(F.lit(name).alias("name"), F.floor((F.col("n") - 1) * q).alias("k")) for q, name in names.items()))
+    wanted = bounds.select("_by", "high", "n", F.explode(asked).alias("w")).select("_by", "high", "n", "w.*")
+    cells = wanted.join(before, "_by").where((F.col("k") >= F.col("before")) & (F.col("k") < F.col("before") + F.col("c")))
+    inside = celled.select("_by", "cell", "v").join(cells.select("_by", "cell", "before").distinct(), ["_by", "cell"])
+    ranked = inside.select("_by", "v", (F.row_number().over(Window.partitionBy("_by", "cell").orderBy("v")) - 1 + F.col("before")).alias("k"))
+    found = cells.join(ranked, ["_by", "k"])
+    picked = (F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in names.values())
+    return found.groupBy(F.col("_by").alias(by), "n", F.col("high").alias("max")).agg(*picked)
 
 
 def evidence(questions: DataFrame, served: DataFrame, gold: DataFrame) -> DataFrame:
