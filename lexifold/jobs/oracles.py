@@ -206,7 +206,7 @@ UNION ALL SELECT qid + 1000000, array_to_string(list_reverse(string_split(questi
 UNION ALL SELECT qid + 2000000, array_to_string(list_transform(string_split(question, ' '), lambda w: reverse(w)), ' ') FROM plain_questions"""
     asked_words = f"(SELECT DISTINCT qid, unnest({norm('question')}) AS word FROM questions)"
     return {
-        "ask": _with(f"SELECT qid, verdict, agreement, {r6('keyword_score', 'margin', 'floor')}, keyword_top, agent, {r6('agent_score')}, files, contenders, {r6('agent_margin')}, found FROM answers"),
+        "ask": _with(f"SELECT qid, verdict, agreement, {r6('keyword_score', 'margin', 'floor')}, keyword_top, agent, {r6('agent_score')}, coalesce(files, 0) AS files, coalesce(contenders, 0) AS contenders, {r6('agent_margin')}, found FROM answers"),
         "normalise_tokens": f"SELECT doc_id, len(t)::INTEGER AS n_tokens, len(list_distinct(t))::INTEGER AS n_distinct, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {norm('text')} AS t FROM documents)",
         "mechanical_keys": _with("SELECT doc_id, array_to_string(keywords, '|') AS keywords FROM doc_keys"),
         "entry_classification": f"""
@@ -221,7 +221,7 @@ SELECT doc_id, rel, CASE WHEN lower(regexp_extract(rel, '([^/]+)$', 1)) IN ('rea
   SELECT qid, d.base, t.term, df, n_chunks < 10 OR df <= n_chunks // 4 AS ok FROM (SELECT DISTINCT qid, unnest(terms) AS term FROM plain_asked) t JOIN text_df d USING (term) JOIN text_bases b ON b.base = d.base)) WHERE ok OR any_ok = 0"""),
         "bm25_search": _with("SELECT qid, base, rel, chunk_id, round(bm25, 6) AS bm25, base_rank FROM bm"),
         "round_robin_merge": _with("SELECT qid, rank, base, chunk_id FROM txt"),
-        "rrf_fuse": _with("SELECT qid, rank, base, rel, round(rrf, 6) AS rrf, keyword_rank, text_rank, passages FROM fused"),
+        "rrf_fuse": _with("SELECT qid, rank, base, rel, round(rrf, 6) AS rrf, coalesce(keyword_rank, 0) AS keyword_rank, coalesce(text_rank, 0) AS text_rank, passages FROM fused"),
         "confidence_verdict": _with(f"SELECT qid, verdict, agreement, {r6('keyword_score', 'margin', 'floor')}, keyword_top FROM verdicts"),
         "species_fold": _with(f"SELECT qid, agent, {r6('agent_score')}, files, contenders, {r6('agent_margin')} FROM agents"),
         "species_pivot": _with(f"""SELECT qid, base, {', '.join(f"round(max(score) FILTER (WHERE {KIND.format('rel')} = '{k}'), 6) AS {k}" for k in ('memory', 'skills', 'tools'))} FROM kw WHERE rank <= 20 GROUP BY qid, base"""),
@@ -239,7 +239,7 @@ FROM fused f LEFT JOIN kw k USING (qid, base, rel) LEFT JOIN entries e ON e.base
 , ev AS (SELECT r.qid, r.chunk_id, r.rank, list_sort(list_filter(w, lambda x: list_contains(own, x))) AS shared, list_sort(list_filter(w, lambda x: NOT list_contains(own, x))) AS missing, len(w) AS n
   FROM (SELECT t.qid, t.chunk_id, t.rank, list_distinct(a.terms) AS w, {norm('c.text')} AS own FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY base_rank, base) AS rank FROM bm WHERE base_rank <= 25) WHERE rank <= 25) t JOIN asked a USING (qid) JOIN chunks c ON c.base = t.base AND c.chunk_id = t.chunk_id) r),
 best AS (SELECT * FROM (SELECT *, len(shared) / n::DOUBLE AS containment, row_number() OVER (PARTITION BY qid ORDER BY len(shared) / n::DOUBLE DESC, rank) AS nth FROM ev) WHERE nth = 1)
-SELECT a.qid, CASE WHEN containment >= 0.9 THEN 'NOOP' WHEN containment >= 0.55 THEN 'UPDATE' ELSE 'ADD' END AS outcome, round(containment, 6) AS containment, array_to_string(shared, ' ') AS shared, array_to_string(missing, ' ') AS missing, chunk_id
+SELECT a.qid, CASE WHEN containment >= 0.9 THEN 'NOOP' WHEN containment >= 0.55 THEN 'UPDATE' ELSE 'ADD' END AS outcome, round(containment, 6) AS containment, array_to_string(shared, ' ') AS shared, array_to_string(missing, ' ') AS missing, coalesce(chunk_id, -1) AS chunk_id
 FROM asked a LEFT JOIN best USING (qid)""").replace("\n\n,", ","),
         "list_facets": _with(f"SELECT base, {KIND.format('rel')} AS kind, CASE WHEN list_contains(string_split(rel, '/'), 'inbox') THEN 'short' ELSE 'long' END AS layer, count(*) AS notes, sum(strlen(text))::BIGINT AS bytes FROM doc_notes WHERE NOT private GROUP BY ALL"),
         "incremental_sync_report": """

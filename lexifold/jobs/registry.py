@@ -110,7 +110,7 @@ def round_robin_merge(spark, sf_dir):
 def rrf_fuse(spark, sf_dir):
     parts = _asked(spark, sf_dir)
     fused = ask.fuse(parts["keyword"], parts["text"])
-    return fused.select("qid", "rank", "base", "rel", round6(F.col("rrf")).alias("rrf"), "keyword_rank", "text_rank", "passages")
+    return fused.select("qid", "rank", "base", "rel", round6(F.col("rrf")).alias("rrf"), F.coalesce("keyword_rank", F.lit(0)).alias("keyword_rank"), F.coalesce("text_rank", F.lit(0)).alias("text_rank"), "passages")
 
 
 def _verdict_columns(df: DataFrame) -> DataFrame:
@@ -134,7 +134,8 @@ def species_pivot(spark, sf_dir):
 def ask_query(spark, sf_dir):
     parts = _asked(spark, sf_dir)
     out = _verdict_columns(ask.answers(parts["questions"], parts))
-    return out.withColumns({c: round6(F.col(c)) for c in ("agent_score", "agent_margin")})
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("files", "contenders")}
+    return out.withColumns({c: round6(F.col(c)) for c in ("agent_score", "agent_margin")} | counts)
 
 
 def suggest_terms(spark, sf_dir):
@@ -158,7 +159,7 @@ def remember_claims(spark, sf_dir):
     asked, chunks = keyword.question_terms(_questions(spark, sf_dir), _aliases(spark)), _chunks(spark, sf_dir)
     ranked = fulltext.round_robin(fulltext.search(asked, chunks, suggest.EVIDENCE_WIDTH), suggest.EVIDENCE_WIDTH)
     found = suggest.remember(asked, ranked, chunks)
-    return found.select("qid", "outcome", round6(F.col("containment")).alias("containment"), F.array_join("shared", " ").alias("shared"), F.array_join("missing", " ").alias("missing"), "chunk_id")
+    return found.select("qid", "outcome", round6(F.col("containment")).alias("containment"), F.array_join("shared", " ").alias("shared"), F.array_join("missing", " ").alias("missing"), F.coalesce("chunk_id", F.lit(-1)).alias("chunk_id"))
 
 
 def list_facets(spark, sf_dir):
