@@ -27,6 +27,8 @@ BLOCKS = 4_096
 BLOCK_ROWS = 256
 #: Sources that are weighed at most: their totals are gathered for the bisection.
 MAX_SOURCES = 1_000_000
+#: Up to so many sources (some 20 MB) their decisions are broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 200_000
 
 
 @dataclass
@@ -136,6 +138,8 @@ def with_copies(docs: DataFrame, entropy: float = 0.95, repeat: float = 2.0, bud
     """
     cuts = checkpointed(plan(docs, entropy, repeat, budget, seed))
     facts = cuts.select("source", *(F.col(c).alias(f"_mix_{c}") for c in cuts.columns if c != "source"))
+    if cuts.count() <= BROADCAST_SOURCES:
+        facts = F.broadcast(facts)
     placed = _with_places(_by_source(docs.drop("copies", "weight"), facts), F.col("_mix_blocks"), seed)
     cut, inside = F.col("_order") == F.col("_mix_cut_order"), F.coalesce(F.col("_place") <= F.col("_mix_cut_place"), F.lit(False))
     before = F.coalesce((F.col("_order") < F.col("_mix_cut_order")) | (cut & inside), F.lit(False))
