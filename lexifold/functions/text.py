@@ -31,15 +31,11 @@ KEY_STOPWORDS = (
 ALNUM = r"([\p{IsAlphabetic}\p{N}]+)"
 
 
-def _strings(values: Sequence[str]) -> Column:
-    return F.array(*(F.lit(v) for v in values))
-
-
 def normalise(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
     """Keyword tokens (T1): accents fold, only A-Z lower-cased, one-byte words and stopwords go; order and repeats stay."""
     words = F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), ACCENTED, PLAIN), F.lit(ALNUM), 1)
     words = F.transform(words, lambda w: F.translate(w, UPPER, LOWER))
-    return F.filter(words, lambda w: (F.octet_length(w) > 1) & ~F.array_contains(_strings(stopwords), w))
+    return F.filter(words, lambda w: (F.octet_length(w) > 1) & ~w.isin(*stopwords))
 
 
 def fulltext_tokens(text: Column) -> Column:

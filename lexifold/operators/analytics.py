@@ -66,8 +66,7 @@ def separation(rows: DataFrame) -> DataFrame:
 
 def triad(rows: DataFrame, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
     """(qid, faithfulness, answer_relevance, context_relevancy) of question, context (array) and answer."""
-    stops = F.array(*map(F.lit, stopwords))
-    content = lambda x: F.filter(F.transform(F.regexp_extract_all(x, F.lit(ALNUM), 1), F.lower), lambda t: (F.octet_length(t) > 2) & ~F.array_contains(stops, t))
+    content = lambda x: F.filter(F.transform(F.regexp_extract_all(x, F.lit(ALNUM), 1), F.lower), lambda t: (F.octet_length(t) > 2) & ~t.isin(*stopwords))
     ratio = lambda xs, ok, empty: F.when(F.size(xs) == 0, F.lit(empty)).otherwise(F.size(F.filter(xs, ok)) / F.greatest(F.size(xs), F.lit(1)))
     rows = rows.withColumns({"_a": F.lower(F.trim("answer")), "_c": F.lower(F.array_join("context", " ")), "_at": content(F.trim("answer")), "_qt": content(F.trim("question"))})
     sentences = F.filter(F.transform(F.flatten(F.transform("context", lambda c: F.split(c, r"[.\n;]"))), lambda s: F.trim(s)), lambda s: F.octet_length(s) >= 10)

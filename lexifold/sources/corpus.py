@@ -72,10 +72,12 @@ def mechanical_keys(texts: DataFrame, key: str = "doc_id", cap: int = KEYS) -> D
     """
     words = F.regexp_extract_all(F.lower(F.col("text")), F.lit(ALNUM), 1)
     stop = lambda w: (F.octet_length(w) < 4) | w.isin(*KEY_STOPWORDS)
-    split = texts.select(key, words.alias("w"))
-    n = F.size("w")
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.when(~stop(a) & ~stop(b), F.concat_ws(" ", a, b)))
-    items = F.concat(F.transform(F.filter("w", lambda w: ~stop(w)), lambda w: F.struct(F.lit(1).alias("n"), w.alias("k"))), F.transform(F.filter(pairs, lambda p: p.isNotNull()), lambda p: F.struct(F.lit(2).alias("n"), p.alias("k"))))
+    # Words that are left out stay as nulls, so that what is adjacent stays adjacent.
+    split = texts.select(key, F.transform(words, lambda w: F.when(~stop(w), w)).alias("w"))
+    rest = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("w", F.lit(1), rest), F.slice("w", F.lit(2), rest), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat_ws(" ", a, b)))
+    item = lambda n, k: F.struct(F.lit(n).alias("n"), k.alias("k"))
+    items = F.concat(F.transform(F.array_compact("w"), lambda w: item(1, w)), F.transform(F.array_compact(pairs), lambda p: item(2, p)))
     counted = split.select(key, F.explode(items).alias("i")).groupBy(key, "i.n", "i.k").agg(F.count(F.lit(1)).alias("c")).where("n = 1 or c >= 2")
     ranked = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "k"))), lambda x: x["k"])
     lists = counted.groupBy(key, "n").agg(ranked.alias("ks")).groupBy(key).agg(F.max(F.when(F.col("n") == 1, F.col("ks"))).alias("single"), F.max(F.when(F.col("n") == 2, F.col("ks"))).alias("pair"))
