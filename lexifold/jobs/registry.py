@@ -237,14 +237,15 @@ def alias_gate(spark, sf_dir):
     n, entries = _n_entries(spark, sf_dir), written(_entries(spark, sf_dir))
     gold = written(analytics.gold_by_passage(questions, corpus.document_notes(_documents(spark, sf_dir).select("doc_id", "source", "text"))))
 
-    def hits(aliases: DataFrame | None) -> DataFrame:
+    owners, files = gold.select("qid", "base").distinct().withColumn("agent", F.lit(1)), gold.withColumn("file", F.lit(1))
+
+    def hits(aliases: DataFrame | None, when: str) -> DataFrame:
         top = keyword.route(keyword.question_terms(questions, aliases), entries, n).where("rank = 1")
-        right = top.join(gold, ["qid", "base", "rel"], "left_semi").agg(F.count(F.lit(1)).alias("file_hits"))
-        return right.crossJoin(top.join(gold.select("qid", "base").distinct(), ["qid", "base"], "left_semi").agg(F.count(F.lit(1)).alias("agent_hits")))  # one row each
+        return top.join(files, ["qid", "base", "rel"], "left").join(owners, ["qid", "base"], "left").select(F.lit(when).alias("when"), "file", "agent")
 
-    old, new = hits(None), hits(_aliases(spark))
-    both = old.select(F.col("file_hits").alias("file_before"), F.col("agent_hits").alias("agent_before")).crossJoin(new.select(F.col("file_hits").alias("file_after"), F.col("agent_hits").alias("agent_after")))
-    return both.withColumn("admitted", (F.col("file_after") >= F.col("file_before")) & (F.col("agent_after") >= F.col("agent_before")))
+    both = hits(None, "before").unionByName(hits(_aliases(spark), "after"))
+    counts = both.agg(*(F.count(F.when(F.col("when") == w, F.col(c))).alias(f"{c}_{w}") for w in ("before", "after") for c in ("file", "agent")))
+    return counts.withColumn("admitted", (F.col("file_after") >= F.col("file_before")) & (F.col("agent_after") >= F.col("agent_before")))
 
 
 def latency_percentiles(spark, sf_dir):

@@ -181,8 +181,8 @@ def test_windows_cover_and_overlap(spark):
 
 
 def test_notes(spark, tmp_path):
-    for path in ("fleet/yar/knowledge/a.md", "fleet/yar/projects/p.MD", "fleet/yar/.git/x.md", "fleet/eve/target/y.md", "fleet/eve/n.txt"):
+    for path in ("fleet/ann/knowledge/a.md", "fleet/ann/projects/p.MD", "fleet/ann/.git/x.md", "fleet/bob/target/y.md", "fleet/bob/n.txt"):
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_text("# t\n")
     got = {(r.base, r.rel, r.stem, r.private) for r in corpus.notes(spark, str(tmp_path / "fleet")).collect()}
-    assert got == {("yar", "knowledge/a.md", "a", False), ("yar", "projects/p.MD", "p", True)}
+    assert got == {("ann", "knowledge/a.md", "a", False), ("ann", "projects/p.MD", "p", True)}
