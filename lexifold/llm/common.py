@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: ``[\x20\x09-\x0D]``: the white space that the line and word rules of this subpackage know.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -31,3 +32,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+#: Cells into which a label's rows are dealt when a sample of them is drawn.
+CELLS = 64
+
+
+def sample_of_each(rows: DataFrame, label: str, size: int) -> DataFrame:
+    """Rows (doc_id, ``label``, ...) of each label, about ``size`` at most: the same ones however they lie.
+
+    A label's rows are dealt into ``CELLS`` cells by a hash of doc_id, and the first ones of each
+    cell by another hash are taken, so that no task sorts a whole label.
+    """
+    order = Window.partitionBy(label, "_cell").orderBy(F.xxhash64("doc_id"), "doc_id")
+    dealt = rows.withColumn("_cell", F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.lit(CELLS)))
+    return dealt.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= -(-size // CELLS)).drop("_cell", "_nth")

@@ -16,14 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sample_of_each
+
 _WORDS = re.compile(r"[^\W\d_]+")
 _LATIN = re.compile("[A-Za-z]")
 
 #: Rows of each language that the model learns from at most.
-SAMPLE = 600
+SAMPLE = 640
 #: Longest text that the sample may hold, in code points: longer rows are passed over for training.
 SAMPLE_CHARS = 20_000
 #: Rejected share of the calibration texts whose language was found.
@@ -165,13 +167,12 @@ def _calibrate(model: LanguageModel, texts: list[str], languages: list[str]) ->
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """Fits on at most ``sample`` rows of each language (doc_id, text, lang), taken in the order of a hash of doc_id.
+    """Fits on about ``sample`` rows of each language (doc_id, text, lang) at most, drawn by hashes of doc_id.
 
     ``docs`` are the rows that may be learned from; those with a null text, lang or doc_id teach nothing.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = rows.select("doc_id", "lang", nth.alias("n")).where(F.col("n") <= sample).select("doc_id", "lang")
+    picked = sample_of_each(rows.select("doc_id", "lang"), "lang", sample)
     taught = rows.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text", "lang").collect()  # sample rows a language
     taught.sort(key=lambda r: (r.doc_id, r.lang, r.text))
     return fit([r.text for r in taught], [r.lang for r in taught]) if taught else LanguageModel([], np.zeros((1, 1)), np.zeros((1, 0)), np.zeros(0))

@@ -22,9 +22,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sample_of_each
 from .language_id import fold
 
 _WORDS = re.compile(r"\w+")
@@ -32,7 +33,7 @@ _WORDS = re.compile(r"\w+")
 WINDOW = 24
 STRIDE = 12
 #: Rows of each label that are learnt from at most, and the longest text among them in code points.
-SAMPLE = 2_000
+SAMPLE = 2_048
 SAMPLE_CHARS = 12_000
 #: A text is called toxic from this score on.
 THRESHOLD = 0.3
@@ -327,7 +328,7 @@ def _scale(model: ToxicityModel, texts: list[list[str]], labels: np.ndarray) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
-    """Fits on at most ``sample`` documents of each label, in the order of a hash of doc_id.
+    """Fits on about ``sample`` documents of each label at most, drawn by hashes of doc_id.
 
     ``docs`` are the rows that may be learned from.  Null texts, ids and labels teach nothing; an id
     with several labels counts as toxic if one of them does.  With no rows the model is untrained.
@@ -335,8 +336,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
     usable = rows.select("doc_id").distinct().join(marked, "doc_id")
-    nth = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = usable.withColumn("_n", nth).where(F.col("_n") <= sample).select("doc_id", "toxic")
+    picked = sample_of_each(usable, "toxic", sample)
     taught = sorted(rows.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").collect())  # sample rows a label
     return fit([r.text for r in taught], [r.toxic for r in taught]) if taught else ToxicityModel(np.random.default_rng(0))
 
