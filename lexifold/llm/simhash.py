@@ -14,6 +14,8 @@ has 65 such neighbours at most, so these groups are small however large the buck
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,9 +125,13 @@ def query_components(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For near duplicates by text: bits in which the prints of the sets of words may differ, prints of
-#: a text, and how many rows before it a row of a bucket is compared with besides the bucket's first.
-RADIUS, PRINTS, BEFORE = 4, 2, 2
+#: For near duplicates by text: bits in which the prints of the sets of words may differ, and prints of a text.
+RADIUS, PRINTS = 4, 2
+#: Texts whose shingles are counted to put rare ones first, texts of these that make a shingle
+#: frequent, and frequent shingles that are told apart.  They move the work, never the result.
+COUNTED, FREQUENT, TOLD_APART = 16_384, 3, 200_000
+#: Rows of a crowded bucket that one task holds against those of other groups.
+BLOCK = 1_024
 
 
 def _prints(docs: DataFrame) -> DataFrame:
@@ -157,50 +163,130 @@ def _prints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, exact string, " + ", ".join(f"fp{i} long" for i in range(PRINTS)))
 
 
+def _runs(text: str | None, size: int) -> np.ndarray:
+    """The set of 32-bit hashes of the shingles, in order."""
+    return np.unique(np.array([xxhash.xxh32_intdigest(s) for s in shingles(words_of(text), size)], np.uint32).view(np.int32))
+
+
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, runs array<int>): the set of 32-bit hashes of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(np.array([xxhash.xxh32_intdigest(s) for s in shingles(words_of(t), size)], np.uint32).view(np.int32)) for t in batch.column("text").to_pylist()]
+            sets = [_runs(t, size) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "runs"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, runs array<int>")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of about ``COUNTED`` texts, in order, and the number of these texts that have them."""
+    every = max(1, docs.count() // COUNTED)
+    some = _shingle_sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), size)
+    counts = some.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    table = counts.orderBy(F.desc("n"), "run").limit(TOLD_APART).toArrow()
+    runs, n = table.column("run").to_numpy(), table.column("n").to_numpy()
+    order = np.argsort(runs)
+    return runs[order], n[order]
+
+
+def _prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(doc_id, exact, n, marks, prefix): a digest of the word sequence, the number of shingles, their
+    parities by 256 cells, and the first shingles in an order that all texts share, rare ones first.
+
+    Two sets of which the larger has ``n`` shingles have ``similarity * n`` or more in common if they
+    are near, so they share one of the first ``n - ceil(similarity * n) + 1`` of each.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, counts = shared.value
+        for batch in batches:
+            exact, n, marks, prefix = [], [], [], []
+            for t in batch.column("text").to_pylist():
+                exact.append(xxhash.xxh3_128_hexdigest(b" ".join(words_of(t))))
+                runs = _runs(t, size)
+                n.append(len(runs))
+                marks.append(np.packbits(np.bincount(runs & 255, minlength=256) % 2 == 1).view(np.int64))
+                often = np.zeros(len(runs), np.int64)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, runs), len(frequent) - 1)
+                    often = np.where(frequent[at] == runs, counts[at], 0)
+                first = len(runs) - math.ceil(similarity * len(runs) - 1e-9) + 1 if len(runs) else 0
+                prefix.append(runs[np.lexsort((runs, often))[:first]])
+            columns = [pa.array(exact, pa.string()), pa.array(n, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "exact", "n", "marks", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, exact string, n int, marks array<long>, prefix array<int>")
+
+
+def _may_be_near(similarity: float, a: str, b: str) -> Column:
+    """Never false for near sets: neither their sizes nor the cells of odd count can differ by more."""
+    apart = sum((F.bit_count(F.col(f"{a}.marks")[i].bitwiseXOR(F.col(f"{b}.marks")[i])) for i in range(4)), F.lit(0))
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (F.least(n, m) + 1e-6 >= similarity * F.greatest(n, m)) & (apart * (1 + similarity) <= (n + m) * (1 - similarity) + 1e-6)
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int | None = RADIUS) -> DataFrame:
     """(doc_id, group_id) of all rows with an id; group_id is the smallest id of a group of near duplicates.
 
     Texts are near duplicates if the sets of their ``size``-word shingles have a Jaccard similarity of
-    ``similarity`` or more; groups are connected.  Copies (the same sequence of words, none included)
-    are one text.  Candidates are texts of which one of the ``PRINTS`` SimHash prints of their sets of
-    words differ in no more than ``radius`` bits, which covering masks find for certain.  In a bucket
-    each text is compared with the first one and with the ``BEFORE`` before it, in an order that
-    differs from table to table, so the work grows with the bucket and not with its square.
+    ``similarity`` or more and, with a ``radius``, one of the ``PRINTS`` SimHash prints of their sets of
+    words differs in no more bits; groups are connected.  Copies (the same sequence of words, none
+    included) are one text.
+
+    Texts that share a shingle of their prefixes (see ``_prefixes``) are candidates: a bucket is a
+    shingle.  First each text is compared with two others of a bucket.  Then, where a bucket has texts
+    of several groups, every text outside its largest group is compared with all of other groups, so
+    each candidate pair is compared or already connected.
     """
-    prints = checkpointed(_prints(docs.where(F.col("doc_id").isNotNull())))
-    fps = [f"fp{i}" for i in range(PRINTS)]
-    texts = checkpointed(prints.groupBy("exact").agg(F.min("doc_id").alias("text_id"), *(F.first(f).alias(f) for f in fps)))
-
-    masks = covering_masks(radius)
-    tables = F.explode(F.array(*(F.struct(F.lit(i).alias("nth"), F.lit(m).cast("long").alias("mask"), F.col(f).alias("fp")) for i, f in enumerate(fps) for m in masks)))
-    rows = texts.select("text_id", tables.alias("t")).select("text_id", "t.*").withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    rows = rows.withColumn("_at", F.xxhash64("mask", "text_id"))
-    bucket = Window.partitionBy("nth", "mask", "key").orderBy("_at", "text_id")
-    other = F.struct("text_id", "fp")
-    rows = rows.withColumns({"_first": F.first(other).over(bucket), **{f"_before{i}": F.lag(other, i + 1).over(bucket) for i in range(BEFORE)}})
-    others = F.array("_first", *(f"_before{i}" for i in range(BEFORE)))
-    pairs = rows.where("_before0 is not null").withColumn("o", F.explode(others)).where((F.col("o.text_id") != F.col("text_id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("o.fp"))) <= radius))
-    pairs = checkpointed(pairs.select(F.greatest("text_id", "o.text_id").alias("a"), F.least("text_id", "o.text_id").alias("b")).distinct())
-
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = checkpointed(_shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), size))
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("runs").alias("a_runs")), sets.select(F.col("doc_id").alias("b"), F.col("runs").alias("b_runs"))
-    compared = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("a_runs", "b_runs")))
-    links = compared.where(F.col("both") >= similarity * (F.size("a_runs") + F.size("b_runs") - F.col("both"))).where("both > 0")
-    roots = components(checkpointed(links.select("a", "b")))
+    known = docs.where(F.col("doc_id").isNotNull())
+    described = checkpointed(_prefixes(known, size, similarity))
+    texts = described.groupBy("exact").agg(F.min(F.struct("doc_id", "n", "marks", "prefix")).alias("t")).select("exact", F.col("t.doc_id").alias("text_id"), "t.n", "t.marks", "t.prefix")
+    if radius is not None:
+        prints = _prints(known).groupBy("exact").agg(F.array(*(F.first(f"fp{i}") for i in range(PRINTS))).alias("fps"))
+        texts = texts.join(prints, "exact")
+    texts = checkpointed(texts)
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """The near ones of ``pairs`` (a, b)."""
+        facts = texts.select("text_id", F.struct("n", "marks", *(["fps"] if radius is not None else [])).alias("f"))
+        left, right = facts.select(F.col("text_id").alias("a"), F.col("f").alias("fa")), facts.select(F.col("text_id").alias("b"), F.col("f").alias("fb"))
+        likely = pairs.distinct().join(left, "a").join(right, "b").where(_may_be_near(similarity, "fa", "fb"))
+        if radius is not None:
+            close = [F.bit_count(F.col("fa.fps")[i].bitwiseXOR(F.col("fb.fps")[i])) <= radius for i in range(PRINTS)]
+            likely = likely.where(functools.reduce(Column.__or__, close))
+        likely = checkpointed(likely.select("a", "b").distinct())
+        wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
+        sets = checkpointed(_shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), size))
+        left, right = sets.select(F.col("doc_id").alias("a"), F.col("runs").alias("a_runs")), sets.select(F.col("doc_id").alias("b"), F.col("runs").alias("b_runs"))
+        compared = likely.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("a_runs", "b_runs")))
+        return checkpointed(compared.where(F.col("both") >= similarity * (F.size("a_runs") + F.size("b_runs") - F.col("both"))).where("both > 0").select("a", "b"))
+
+    rows = texts.select("text_id", "n", F.posexplode("prefix").alias("at", "run"))
+    bucket = Window.partitionBy("run").orderBy(F.xxhash64("text_id"), "text_id")
+    seen = rows.withColumns({"_first": F.first("text_id").over(bucket), "_before": F.lag("text_id").over(bucket), "_after": F.lead("text_id").over(bucket)})
+    rows = checkpointed(seen.where("_before is not null or _after is not null").drop("_after"))
+    pairs = rows.where("_before is not null").select("text_id", F.explode(F.array("_first", "_before")).alias("o")).where("text_id <> o")
+    found = links(pairs.select(F.greatest("text_id", "o").alias("a"), F.least("text_id", "o").alias("b")))
+
+    # Buckets of several groups; their largest group is settled in itself.
+    roots = components(found)
+    facts = texts.join(roots, texts.text_id == roots.node, "left").select("text_id", F.coalesce("root", "text_id").alias("root"), "marks")
+    rows = checkpointed(rows.select("run", "text_id", "n", "at").join(facts, "text_id"))
+    groups = rows.groupBy("run", "root").agg(F.count(F.lit(1)).alias("rows"))
+    mixed = groups.groupBy("run").agg(F.max_by("root", F.struct("rows", "root")).alias("largest"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    held = rows.join(mixed.select("run", "largest", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "run")
+    left = held.where("root <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = held.withColumn("block", F.pmod(F.xxhash64(F.lit(1), F.col("text_id")), F.col("blocks")).cast("int"))
+    x, y = left.alias("x"), right.alias("y")
+    common = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # at most, from the first shared shingle on
+    enough = common * (1 + similarity) + 1e-6 >= similarity * (F.col("x.n") + F.col("y.n"))
+    same = (F.col("x.run") == F.col("y.run")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root"))
+    pairs = x.join(y, same & enough & _may_be_near(similarity, "x", "y")).select(F.greatest("x.text_id", "y.text_id").alias("a"), F.least("x.text_id", "y.text_id").alias("b"))
+    roots = components(found.unionByName(links(pairs)))
     groups = texts.join(roots, texts.text_id == roots.node, "left").select("exact", F.coalesce("root", "text_id").alias("group_id"))
-    return prints.select("doc_id", "exact").join(groups, "exact").select("doc_id", "group_id")
+    return described.select("doc_id", "exact").join(groups, "exact").select("doc_id", "group_id")
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:

@@ -134,3 +134,34 @@ def test_stage_keeps_clean_and_odd_rows(spark):
     ids = sorted((r.doc_id for r in kept.collect()), key=repr)
     # 2, 3 and 4 have no words, 8 is a copy of 7; the row without an id stays.
     assert ids == sorted([1, 2, 5, 6, 7, None, 10, 11, 12, 13, 9_000_000_000], key=repr) and kept.columns == edge(spark).columns
+
+
+def words_like(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+
+
+def exact_groups(texts):
+    sets = [set(simhash.shingles(simhash.words_of(t), 5)) for t in texts]
+    return sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+
+def groups_of(spark, texts, **options):
+    found = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **options)
+    return {r.doc_id: r.group_id for r in found.collect()}
+
+
+def test_crowded_buckets_are_settled(spark, monkeypatch):
+    """Texts of one frame share their prints' buckets; all near pairs within the radius are linked."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = random.Random(11)
+    frame, texts = words_like(rng, 120), []
+    for _ in range(200):  # each pair near, the pairs apart from each other by their order only
+        words = list(frame)
+        rng.shuffle(words)
+        copy = [*words[:60], *words_like(rng, 2), *words[62:]]
+        texts += [" ".join(words), " ".join(copy)]
+    _, near = exact_groups(texts)
+    prints = [[brute_print(t, simhash.SEED + i) for i in range(simhash.PRINTS)] for t in texts]
+    linked = lambda a, b: near(a, b) and any((x ^ y).bit_count() <= simhash.RADIUS for x, y in zip(prints[a], prints[b], strict=True))
+    right = brute_components(range(len(texts)), linked)
+    assert groups_of(spark, texts) == right and len(set(right.values())) < 260
