@@ -292,7 +292,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, rad
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without near duplicates: of each group the row with the smallest id stays.
 
+    Groups are by the similarity of shingles alone, unless ``options`` name a ``radius`` of the prints.
     Rows without an id stay; rows that share an id stay or go together.
     """
-    gone = checkpointed(near_duplicates(docs, **options).where("doc_id <> group_id").select("doc_id").distinct())
+    gone = checkpointed(near_duplicates(docs, **{"radius": None} | options).where("doc_id <> group_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -165,3 +165,20 @@ def test_crowded_buckets_are_settled(spark, monkeypatch):
     linked = lambda a, b: near(a, b) and any((x ^ y).bit_count() <= simhash.RADIUS for x, y in zip(prints[a], prints[b], strict=True))
     right = brute_components(range(len(texts)), linked)
     assert groups_of(spark, texts) == right and len(set(right.values())) < 260
+
+
+def test_stage_drops_all_copies_by_true_similarity(spark):
+    """Appended, truncated, block-edited and short copies, whatever their prints; pairs under 0.8 stay."""
+    rng = random.Random(5)
+    texts = []
+    for n in (5, 9, 24, 60, 150, 400):
+        for part in (0.05, 0.1, 0.15, 0.2, 0.3):
+            k = max(1, int(n * part))
+            words, new = words_like(rng, n), words_like(rng, k)
+            at = rng.randrange(n - k + 1)
+            texts += [" ".join(t) for t in (words, [*words, *new], words[: n - k], [*words[:at], *new[: k // 2 + 1], *words[at + k // 2 + 1 :]])]
+    sets, near = exact_groups(texts)
+    right = brute_components(range(len(texts)), near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_of_each_group(docs).collect()}
+    assert kept == set(right.values()) and 40 < len(kept) < len(texts) - 40
