@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,8 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that one pass holds against all rows; a larger set takes several passes.
+from ..sources.stages import written
+
+#: Query vectors that one pass holds against all rows, about; a larger set takes several passes.
 QUERIES = 10_000
+#: Rows that are multiplied with them at once.
+ROWS = 512
 RRF_K = 60.0
 
 
@@ -22,19 +27,24 @@ def _ranked(scores: DataFrame) -> DataFrame:
 def best_owners(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(qid, owner, score, rank): for each query the best inner product among an owner's vectors.
 
-    The stated query set is held against all rows in blocks: every batch of vectors is multiplied with
-    the queries where it lies, and only its best for each query and owner goes on.  A query's own row
-    does not count.
+    The queries are dealt into passes by a hash of their ids, and a pass is held against all rows:
+    every batch of vectors is multiplied with the queries where it lies, and only its best for each
+    query and owner goes on.  A query's own row does not count.
     """
-    asked = queries.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).limit(QUERIES + 1).collect()
-    if len(asked) > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries in one pass")
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast((np.array([r[0] for r in asked]), np.array([r[1] for r in asked])))
+    asked = queries.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    passes = max(1, -(-asked.count() // QUERIES))
+    if passes == 1:
+        return _pass(asked, vectors)
+    return functools.reduce(DataFrame.unionByName, (written(_pass(asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i), vectors)) for i in range(passes)))
+
+
+def _pass(asked: DataFrame, vectors: DataFrame) -> DataFrame:
+    held = asked.collect()  # QUERIES rows, about
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in held]), np.array([r[1] for r in held])))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             if not batch.num_rows or not len(ids):
                 continue
             own, owner = batch.column(0).to_numpy(), batch.column(1).to_numpy()

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,14 @@ def test_best_owners(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = [(r.qid, r.owner, round(r.score, 6)) for r in dense.best_owners(df.where("vec_id = 0"), df).orderBy("rank").collect()]
     assert got == [(0, 1, 0.9), (0, 2, 0.5)]
+
+
+def test_best_owners_of_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(dense, "QUERIES", 7)
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)], i % 5) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {(r.qid, r.owner): round(r.score, 4) for r in dense.best_owners(df.where("vec_id % 3 = 0"), df).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    right = {(q, o): round(max(dot(x, y) for v, y, w in rows if w == o and v != q), 4) for q, x, _ in rows if q % 3 == 0 for o in range(5)}
+    assert got.keys() == right.keys() and all(abs(got[k] - right[k]) < 1e-3 for k in right)
