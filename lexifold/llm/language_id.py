@@ -3,8 +3,8 @@
 A word is the mean of the embeddings of its hashed character n-grams (with word ends marked), a text
 the mean of its words, and a linear layer with softmax gives the languages.  The model is trained by
 stochastic gradient descent in numpy on segments of a bounded sample of labelled documents.  A part
-of that sample is held back to set the temperature of the probabilities and the threshold under
-which a prediction is rejected.  Every word's share in the scores is computed once by each worker.
+of that sample is held back to set the temperature of the probabilities and, for texts of each length,
+the threshold under which a prediction is rejected.  Every word's share in the scores is computed once by each worker.
 """
 
 from __future__ import annotations
@@ -28,8 +28,11 @@ _LATIN = re.compile("[A-Za-z]")
 SAMPLE = 640
 #: Longest text that the sample may hold, in code points: longer rows are passed over for training.
 SAMPLE_CHARS = 20_000
-#: Rejected share of the calibration texts whose language was found.
+#: Rejected share of the calibration segments whose language was found.
 REJECTED = 0.001
+#: Words from which on a text has a threshold of its own, segments that are drawn of each held-back
+#: text for it, segments that a threshold needs, and the part of the quantile's log-odds that it asks for.
+BANDS, SEGMENTS, ENOUGH, ASKED = (1, 2, 4, 8, 16, 32, 64, 128), 8, 50, 0.8
 CACHE = 400_000
 
 
@@ -55,7 +58,11 @@ class LanguageModel:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = 0.0
+    #: (words from which on it holds, probability under which a prediction is rejected), ascending.
+    thresholds: tuple[tuple[int, float], ...] = ()
+
+    def threshold(self, n_words: int) -> float:
+        return max((t for t in self.thresholds if t[0] <= n_words), default=(0, 0.0))[1]
 
     def word_scores(self) -> np.ndarray:
         """Each bucket's share in the scores: the layers are linear up to the softmax."""
@@ -94,13 +101,17 @@ class Scorer:
         parts = [self.logits(words[i : i + CACHE // 2]) * len(words[i : i + CACHE // 2]) for i in range(0, len(words), CACHE // 2)]
         return np.sum(parts, axis=0) / len(words)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its probability; ``und`` and 0 for texts without a letter or with no model."""
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """The language, its probability and whether it is rejected; ``und``, 0 and rejected for texts without a letter or with no model."""
         if not self.model.languages or not has_letter(text):
-            return "und", 0.0
-        p = self.model.probabilities(self.logits(words_of(text)))
+            return "und", 0.0, True
+        words = words_of(text)
+        p = self.model.probabilities(self.logits(words))
         best = int(p.argmax())
-        return self.model.languages[best], float(p[best])
+        return self.model.languages[best], float(p[best]), bool(p[best] < self.model.threshold(len(words)))
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 def fit(texts: list[str], languages: list[str], buckets: int = 1 << 15, dim: int = 16, epochs: int = 3, rate: float = 2.0, seed: int = 0) -> LanguageModel:
@@ -149,7 +160,7 @@ def fit(texts: list[str], languages: list[str], buckets: int = 1 << 15, dim: int
 
 
 def _calibrate(model: LanguageModel, texts: list[str], languages: list[str]) -> None:
-    """Temperature of least log loss; threshold under which ``REJECTED`` of the rightly found texts lie."""
+    """Temperature of least log loss; thresholds by the quantile ``REJECTED`` of the rightly found segments of each length."""
     scorer = Scorer(model)
     seen = [(scorer.logits(words_of(t)), model.languages.index(lang)) for t, lang in zip(texts, languages, strict=True) if words_of(t)]
     if not seen:
@@ -160,10 +171,20 @@ def _calibrate(model: LanguageModel, texts: list[str], languages: list[str]) ->
         model.temperature = float(t)
         losses[float(t)] = -np.log(np.maximum(model.probabilities(logits)[np.arange(len(right)), right], 1e-12)).mean()
     model.temperature = min(losses, key=losses.get)
-    p = model.probabilities(logits)
-    found = p[p.argmax(axis=1) == right].max(axis=1, initial=0)
-    # No higher than a little over chance: texts of a known language stay.
-    model.threshold = min(float(np.quantile(found, REJECTED)) * 0.9, 1.2 / len(model.languages)) if len(found) else 0.0
+    rng, thresholds = np.random.default_rng(1), []
+    for size in BANDS:
+        odds = []
+        for t, lang in zip(texts, languages, strict=True):
+            words = words_of(t)
+            for _ in range(SEGMENTS if len(words) >= size else 0):
+                start = rng.integers(0, len(words) - size + 1)
+                p = model.probabilities(scorer.logits(words[start : start + size]))
+                if model.languages[int(p.argmax())] == lang:
+                    odds.append(np.log(p.max()) - np.log(max(1 - p.max(), 1e-15)))
+        if len(odds) >= ENOUGH:
+            asked = ASKED * max(0.0, float(np.quantile(odds, REJECTED)))
+            thresholds.append((size, float(1 / (1 + np.exp(-asked)))))
+    model.thresholds = tuple(thresholds)
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
@@ -190,8 +211,8 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.predict(t) for t in batch.column(names.index("text")).to_pylist()]
-            out = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[0] == "und" or f[1] < scorer.model.threshold for f in found], pa.bool_())]
+            found = [scorer.judge(t) for t in batch.column(names.index("text")).to_pylist()]
+            out = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*names, "lang_pred", "score", "rejected"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

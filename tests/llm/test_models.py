@@ -112,3 +112,15 @@ def test_toxicity_edge_rows(spark):
     rows = toxicity.query(edge(spark), labels).collect()
     assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
     assert toxicity.query(empty(spark), labels).collect() == [] and len(toxicity.query(edge(spark), labels.limit(0)).collect()) == len(ROWS)
+
+
+def test_unlearned_languages_and_random_letters_are_rejected(spark, corpus):
+    rng = random.Random(8)
+    model = language_id.train(spark.createDataFrame(corpus, "doc_id long, text string, lang string"))
+    scorer = language_id.Scorer(model)
+    cyrillic = lambda: "".join(rng.choice(["ко", "ла", "ми", "ста", "ро", "ни"]) for _ in range(3))
+    letters = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10)))
+    for word in (cyrillic, letters):
+        assert np.mean([scorer.judge(" ".join(word() for _ in range(60)))[2] for _ in range(100)]) > 0.9
+    clean = [sentence(rng, lang, n) for lang in SYLLABLES for n in (1, 3, 10, 40, 200) for _ in range(40)]
+    assert np.mean([scorer.judge(t)[2] for t in clean]) < 0.02
