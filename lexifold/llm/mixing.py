@@ -83,7 +83,14 @@ def temper(tokens: dict[str | None, int], entropy: float, repeat: float, budget:
     seldom = lambda a: max(copies(a).values()) <= repeat
     if not seldom(alpha):
         alpha = 1.0 if not seldom(1.0) else 1.0 - _bisect(lambda x: seldom(1.0 - x), 0.0, 1.0 - alpha)
-    return Weights(alpha, _tempered(tokens, alpha), {s: min(c, repeat) for s, c in copies(alpha).items()})
+    least = min(1.0, repeat) if budget is None else 0.0
+    return Weights(alpha, _tempered(tokens, alpha), {s: max(_whole(min(c, repeat)), least) for s, c in copies(alpha).items()})
+
+
+def _whole(copies: float) -> float:
+    """``copies`` without the rounding of doubles, which would take a document from whole passes."""
+    near = round(copies)
+    return float(near) if abs(copies - near) < 1e-9 else copies
 
 
 def _hashes(seed: int) -> tuple[Column, Column, Column]:
@@ -107,7 +114,7 @@ def plan(docs: DataFrame, entropy: float = 0.95, repeat: float = 2.0, budget: in
         raise ValueError(f"more than {MAX_SOURCES} sources")
     weights = temper({r.source: r.tokens for r in totals}, entropy, repeat, budget)
     table = [
-        (r.source, max(1, min(BLOCKS, r.rows // BLOCK_ROWS)), weights.weight[r.source], int(weights.copies[r.source]), (weights.copies[r.source] % 1) * r.tokens)
+        (r.source, max(1, min(BLOCKS, r.rows // BLOCK_ROWS)), weights.weight[r.source], int(weights.copies[r.source]), round((weights.copies[r.source] % 1) * r.tokens, 6))
         for r in totals
     ]
     sources = spark.createDataFrame(table, "source string, blocks int, weight double, passes int, rest double")

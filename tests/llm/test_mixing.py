@@ -61,3 +61,22 @@ def test_edge_rows_and_empty(spark):
     assert out.columns == edge(spark).columns and out.count() >= len(ROWS)
     assert {r.doc_id for r in out.collect()} == {r[0] for r in ROWS}
     assert mixing.mix(empty(spark)).collect() == [] and mixing.with_copies(empty(spark)).collect() == []
+
+
+def test_no_source_is_left_out_by_rounding(spark):
+    rng = random.Random(0)
+    for target in (0.0, 0.8, 0.95):
+        for _ in range(300):
+            w = mixing.temper({i: rng.randrange(1, 1_000_000) for i in range(20)}, target, 2.0)
+            assert min(w.copies.values()) >= 1 and max(w.copies.values()) <= 2
+    rng, tables = random.Random(1), [[rng.randrange(1, 40) for _ in range(20)] for _ in range(400)]
+
+    def plain_copies(sizes):
+        weight = [n / sum(sizes) for n in sizes]
+        weight = [w / sum(weight) for w in weight]
+        whole = max(n / w for n, w in zip(sizes, weight, strict=True))
+        return [w * whole / n for n, w in zip(sizes, weight, strict=True)]
+
+    sizes = next(t for t in tables if min(plain_copies(t)) < 1)  # a source just under one pass in doubles
+    docs = spark.createDataFrame([(i, "word " * n, f"s{i}") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    assert [r.copies for r in mixing.with_copies(docs, entropy=0.0).collect()] == [1] * 20
