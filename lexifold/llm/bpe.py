@@ -5,10 +5,16 @@ are exactly the token sequences that BPE gives.  It starts as one state with an
 For the merge of (u, v) into w, in the order of ranks, a merge gadget is put in: the arcs for u lead
 to a fresh state, a copy of the one they led to but without the arc for v, and every state with an
 arc for u gets one for w, to where v led.  Where an arc leads depends on its token alone, so the
-automaton is four small tables: for a state its parent, the token it lost and the merge that made
-it; for a token its state.  Arcs are looked up through these tables and kept once they were used.
-
-A word that the pre-splitter gives has one accepted path, and each of its prefixes has one too.
+gadgets are six integer tables: for a state its parent, the token it lost and the merge that made
+it; for a token its state, its merge and that merge's left part.
+
+A word is encoded by walking two tables.  The labels are a trie, (node, byte) -> node, so that one
+walk finds every token that a place of the word can begin with; the transition table, (state,
+token) -> state, says where each of them leads, or that the automaton has no such arc.  Rows of it
+are made from the gadgets when they are first used.  The longest token with an arc is taken; where
+none has one, the walk goes back to the next shorter token before.  Each place of a word is reached
+by one path only, as each prefix has one accepted path, so no place is tried twice.  All that a
+worker keeps is bounded (``MOVES``, ``CACHE``); beyond that it starts anew, with the same results.
 Decoding emits the arcs' labels.
 """
 
@@ -17,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +34,10 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it (White_Space), which the pre-splitter's ``\s`` means: fixed values.
 _SPACE = "\t-\r \x85\xa0  -     　"
-#: Runs between which the pre-splitter always splits; most of these are one word and are kept whole.
-_CHUNKS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: The pre-splitter's pattern: a fixed value.
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: Chunks kept by a worker; beyond that it starts anew.
-CACHE = 1_000_000
+#: Transitions, and words (of so many characters at most) with their ids, that a worker keeps: some 40 MB.
+MOVES, CACHE, CACHED_CHARS = 150_000, 60_000, 24
 
 
 def byte_symbols() -> dict[str, int]:
@@ -60,10 +65,9 @@ class Automaton:
         self.labels: dict[int, bytes] = spec["labels"]
         self.special: dict[str, int] = spec["special"]
         size = max(self.labels) + 1
-        self.born, self.left = [-1] * size, [-1] * size
-        self.leads_to = [0] * size
-        self.parent, self.lost, self.made = [0], [-1], [-1]
-        self.arcs: dict[int, bool] = {}
+        self.born, self.left = array("i", [-1]) * size, array("i", [-1]) * size
+        self.leads_to = array("i", [0]) * size
+        self.parent, self.lost, self.made = array("i", [0]), array("i", [-1]), array("i", [-1])
         alive = set(spec["bytes"])
         for r, (u, v, w) in enumerate(spec["merges"]):
             at = self.leads_to[u]
@@ -75,64 +79,79 @@ class Automaton:
             self.lost.append(v)
             self.made.append(r)
             alive.add(w)
-        self.arcs.clear()
-        self.ids = {self.labels[t]: t for t in alive}
-        self.longest = max(map(len, self.ids))
-        self.cache: dict[str, bytes] = {}
+        # The labels as a trie of bytes, and the token that ends at a node.
+        self.trie: dict[int, int] = {}
+        self.ends = array("i", [-1])
+        self.length = array("i", [0]) * size
+        for t in sorted(alive):
+            node = 0
+            for b in self.labels[t]:
+                to = self.trie.get(node << 8 | b)
+                if to is None:
+                    to = self.trie[node << 8 | b] = len(self.ends)
+                    self.ends.append(-1)
+                node = to
+            self.ends[node] = t
+            self.length[t] = len(self.labels[t])
+        self.moves: dict[int, int] = {}
+        self.cache: dict[str, bytes] = {}  # the words met of late, and those met before them
+        self.older: dict[str, bytes] = {}
 
     def has_arc(self, state: int, token: int) -> bool:
         """Whether ``state`` has an arc for ``token``: back through the gadgets, newest first."""
-        key = state << 20 | token
-        known = self.arcs.get(key)
-        if known is None:
-            s, t = state, token
-            while True:
-                if s == 0:
-                    known = True  # the first state keeps all arcs
-                elif self.born[t] >= self.made[s]:
-                    t = self.left[t]
-                    continue
-                elif self.lost[s] == t:
-                    known = False
-                else:
-                    s = self.parent[s]
-                    continue
-                break
-            self.arcs[key] = known
-        return known
+        while state:  # the first state keeps all arcs
+            if self.born[token] >= self.made[state]:
+                token = self.left[token]
+            elif self.lost[state] == token:
+                return False
+            else:
+                state = self.parent[state]
+        return True
+
+    def _move(self, state: int, token: int) -> int:
+        """The row of the transition table for (state, token), made and kept: the next state, or -1."""
+        if len(self.moves) >= MOVES:
+            self.moves.clear()
+        to = self.moves[state << 20 | token] = self.leads_to[token] if self.has_arc(state, token) else -1
+        return to
 
     def encode_word(self, word: bytes) -> list[int]:
         """The tokens of one pre-split word."""
-        whole = self.ids.get(word)
-        if whole is not None:
-            return [whole]
-        # Longest arc first; a state without a way on is left again.  Each place in the word can be
-        # reached by one path only, so none is tried twice.
-        ids, n = self.ids.get, len(word)
+        trie, ends, moves = self.trie.get, self.ends, self.moves
         out: list[int] = []
-        at, state, most = 0, 0, min(n, self.longest)
+        at, state, n = 0, 0, len(word)
+        limit = n  # where the next token ends at the latest
         while at < n:
-            for length in range(most, 0, -1):
-                token = ids(word[at : at + length])
-                if token is not None and (state == 0 or self.has_arc(state, token)):
+            node, i, fitting = 0, at, []
+            while i < limit:
+                node = trie(node << 8 | word[i])
+                if node is None:
+                    break
+                i += 1
+                if ends[node] >= 0:
+                    fitting.append(ends[node])
+            for token in reversed(fitting):
+                to = moves.get(state << 20 | token)
+                if to is None:
+                    to = self._move(state, token)
+                if to >= 0:
                     out.append(token)
-                    at += length
-                    state, most = self.leads_to[token], min(n - at, self.longest)
+                    at, state, limit = at + self.length[token], to, n
                     break
-            else:
-                back = len(self.labels[out.pop()])
-                at -= back
-                state, most = self.leads_to[out[-1]] if out else 0, back - 1
+            else:  # the token before must be a shorter one
+                limit = at - 1
+                at -= self.length[out.pop()]
+                state = self.leads_to[out[-1]] if out else 0
         return out
 
-    def _chunk(self, chunk: str) -> bytes:
-        known = self.cache.get(chunk)
+    def _word(self, word: str) -> bytes:
+        known = self.older.get(word)
         if known is None:
-            ids = [t for word in _WORDS.findall(chunk) for t in self.encode_word(word.encode())]
+            known = array("I", self.encode_word(word.encode())).tobytes()
+        if len(word) <= CACHED_CHARS:
             if len(self.cache) >= CACHE:
-                self.cache.clear()
-                self.arcs.clear()
-            known = self.cache[chunk] = np.array(ids, "<u4").tobytes()
+                self.cache, self.older = {}, self.cache
+            self.cache[word] = known
         return known
 
     def encode(self, text: str) -> bytes:
@@ -141,8 +160,7 @@ class Automaton:
         if held:
             parts = re.split("(" + "|".join(sorted(map(re.escape, held), key=len, reverse=True)) + ")", text)
             return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self.encode(p) for p in parts if p)
-        cache, chunk = self.cache, self._chunk
-        return b"".join([cache.get(c) or chunk(c) for c in _CHUNKS.findall(text)])
+        return b"".join([self.cache.get(w) or self._word(w) for w in _WORDS.findall(text)])
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")

@@ -1,16 +1,17 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
 A word is the mean of the embeddings of its hashed character n-grams (with word ends marked), a text
-the mean of its words, and a linear layer with softmax gives the languages.  The model is trained by
-stochastic gradient descent in numpy on segments of a bounded sample of labelled documents.  A part
-of that sample is held back to set the temperature of the probabilities and, for texts of each length,
-the threshold under which a prediction is rejected.  Every word's share in the scores is computed once by each worker.
+the mean of its words, and a linear layer with softmax gives the languages and one class more, for
+text of none of them.  The model is trained by stochastic gradient descent in numpy on segments of a
+bounded sample of labelled documents; examples of the last class are made of the same segments, with
+words reversed, letters shuffled or letters drawn at random.  A part of the sample is held back to
+set the temperature of the probabilities and, for texts of each length, the threshold under which a
+prediction is rejected.  Every word's share in the scores is computed once by each worker.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,16 +25,18 @@ from .common import sample_of_each
 _WORDS = re.compile(r"[^\W\d_]+")
 _LATIN = re.compile("[A-Za-z]")
 
-#: Rows of each language that the model learns from at most.
-SAMPLE = 640
-#: Longest text that the sample may hold, in code points: longer rows are passed over for training.
-SAMPLE_CHARS = 20_000
+#: Rows of each language that the model learns from at most; of a long text, so many pieces of so
+#: many words each, spread evenly over the whole of it.
+SAMPLE, PIECES, PIECE = 640, 16, 64
 #: Rejected share of the calibration segments whose language was found.
 REJECTED = 0.001
 #: Words from which on a text has a threshold of its own, segments that are drawn of each held-back
-#: text for it, segments that a threshold needs, and the part of the quantile's log-odds that it asks for.
-BANDS, SEGMENTS, ENOUGH, ASKED = (1, 2, 4, 8, 16, 32, 64, 128), 8, 50, 0.8
-CACHE = 400_000
+#: text for it, and segments that a threshold needs.
+BANDS, SEGMENTS, ENOUGH = (1, 2, 4, 8, 16, 32, 64, 128), 8, 50
+#: Examples of no language for each segment.
+FOREIGN = 1.0
+#: Words that a worker keeps, and words that it reads at once.
+CACHE, AT_ONCE = 100_000, 30_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -44,11 +47,23 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (_LATIN.search(text) is not None or any(map(str.isalpha, text)))
 
 
-def subwords(word: str, buckets: int, longest: int = 3) -> list[int]:
-    """Hashed n-grams of ``<word>``; of very long words, those of every part of 64 characters."""
-    marked = f"<{word}>"
-    n = len(marked)
-    return [zlib.crc32(marked[i : i + k].encode("utf-8", "surrogatepass")) % buckets for k in range(1, longest + 1) for i in range(n - k + 1)]
+def subwords(words: list[str], buckets: int, longest: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of every ``<word>``, word after word, and how many each word has.
+
+    A hash is taken over code points, for all words at once.
+    """
+    lengths = np.array([len(w) + 2 for w in words], np.int64)
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    h, found, owners = np.zeros(len(points), np.uint64), [], []
+    for k in range(1, longest + 1):
+        h = h[: len(points) - k + 1] * np.uint64(1_000_003) + points[k - 1 :]
+        inside = owner[: len(h)] == owner[k - 1 :]
+        mixed = (h[inside] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+        found.append(((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
+        owners.append(owner[: len(h)][inside])
+    owner = np.concatenate(owners)
+    return np.concatenate(found)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
 
 @dataclass
@@ -80,48 +95,86 @@ class Scorer:
     def __init__(self, model: LanguageModel):
         self.model, self.shares = model, model.word_scores()
         self.known: dict[str, int] = {}
-        self.table = np.zeros((1024, len(model.languages)))
+        self.table = np.zeros((1024, self.shares.shape[1]))
 
-    def _new(self, word: str) -> int:
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        at = self.known[word] = len(self.known)
-        if at >= len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at] = self.shares[subwords(word, len(self.shares))].mean(axis=0)
-        return at
-
-    def logits(self, words: list[str]) -> np.ndarray:
-        if len(self.known) + len(words) > CACHE:  # none of this text's words may be dropped while it is read
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHE:
             self.known.clear()
-        known, new = self.known, self._new
-        at = [known[w] if w in known else new(w) for w in words] if len(words) < CACHE else None
-        if at is not None:
-            return self.table[at].mean(axis=0)
-        parts = [self.logits(words[i : i + CACHE // 2]) * len(words[i : i + CACHE // 2]) for i in range(0, len(words), CACHE // 2)]
-        return np.sum(parts, axis=0) / len(words)
+            new = list(words)
+        if not new:
+            return
+        start = len(self.known)
+        if start + len(new) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(new)), self.table.shape[1]))])
+        ids, counts = subwords(new, len(self.shares))
+        self.table[start : start + len(new)] = np.add.reduceat(self.shares[ids], np.cumsum(counts) - counts, axis=0) / counts[:, None]
+        self.known |= {w: start + i for i, w in enumerate(new)}
+
+    def logits(self, texts: list[list[str]]) -> np.ndarray:
+        """The mean share of the words of each text (rows); a text without words has zeros."""
+        out, sizes = np.zeros((len(texts), self.table.shape[1])), np.zeros(len(texts))
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def read() -> None:
+            self._learn(set().union(*(words for _, words in held)))
+            for i, words in held:
+                out[i] += self.table[[self.known[w] for w in words]].sum(axis=0)
+                sizes[i] += len(words)
+
+        for i, words in enumerate(texts):
+            for at in range(0, len(words), AT_ONCE):  # no more words than that are read at once, also of one text
+                held.append((i, words[at : at + AT_ONCE]))
+                size += len(held[-1][1])
+                if size >= AT_ONCE:
+                    read()
+                    held, size = [], 0
+        if held:
+            read()
+        return out / np.maximum(sizes, 1)[:, None]
+
+    def judge_all(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """Of each text the language, its probability and whether it is rejected; ``und``, 0 and rejected for texts without a letter or with no model."""
+        languages = self.model.languages
+        if not languages:
+            return [("und", 0.0, True)] * len(texts)
+        words = [words_of(t) if has_letter(t) else None for t in texts]
+        p = self.model.probabilities(self.logits([w or [] for w in words]))
+        out = []
+        for w, own in zip(words, p, strict=True):
+            if w is None:
+                out.append(("und", 0.0, True))
+            else:
+                best = int(own[: len(languages)].argmax())
+                out.append((languages[best], float(own[best]), bool(own[best] < self.model.threshold(len(w)))))
+        return out
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
-        """The language, its probability and whether it is rejected; ``und``, 0 and rejected for texts without a letter or with no model."""
-        if not self.model.languages or not has_letter(text):
-            return "und", 0.0, True
-        words = words_of(text)
-        p = self.model.probabilities(self.logits(words))
-        best = int(p.argmax())
-        return self.model.languages[best], float(p[best]), bool(p[best] < self.model.threshold(len(words)))
+        return self.judge_all([text])[0]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         return self.judge(text)[:2]
 
 
+def foreign(words: list[str], rng: np.random.Generator) -> list[str]:
+    """Words as long as ``words`` of no language: reversed, of their letters shuffled, or of random letters."""
+    kind = rng.integers(0, 3)
+    if kind == 0:
+        return [w[::-1] for w in words]
+    letters = "".join(words) if kind == 1 else "".join(map(chr, rng.integers(97, 123, sum(map(len, words)))))
+    letters = "".join(letters[i] for i in rng.permutation(len(letters)))
+    ends = np.cumsum([len(w) for w in words])
+    return [letters[e - len(w) : e] for w, e in zip(words, ends, strict=True)]
+
+
 def fit(texts: list[str], languages: list[str], buckets: int = 1 << 15, dim: int = 16, epochs: int = 3, rate: float = 2.0, seed: int = 0) -> LanguageModel:
     """A model of ``texts`` and their ``languages``; a tenth of the texts is kept back for calibration."""
     names = sorted(set(languages))
     rng = np.random.default_rng(seed)
-    model = LanguageModel(names, rng.normal(0, 0.1, (buckets, dim)), np.zeros((dim, len(names))), np.zeros(len(names)))
+    model = LanguageModel(names, rng.normal(0, 0.1, (buckets, dim)), np.zeros((dim, len(names) + 1)), np.zeros(len(names) + 1))
     order = rng.permutation(len(texts))
     kept, learnt = order[: len(texts) // 10], order[len(texts) // 10 :]
-    grams: dict[str, np.ndarray] = {}
     segments, targets = [], []
     for i in learnt:
         words = words_of(texts[i])
@@ -130,7 +183,13 @@ def fit(texts: list[str], languages: list[str], buckets: int = 1 << 15, dim: int
                 start = rng.integers(0, max(1, len(words) - size + 1))
                 segments.append(words[start : start + size])
                 targets.append(names.index(languages[i]))
+                if rng.random() < FOREIGN:
+                    segments.append(foreign(segments[-1], rng))
+                    targets.append(len(names))
     targets = np.array(targets, np.int64)
+    vocabulary = sorted(set().union(*segments))
+    ids, counts = subwords(vocabulary, buckets) if vocabulary else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    grams = dict(zip(vocabulary, np.split(ids, np.cumsum(counts)[:-1]), strict=False))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         shuffled = rng.permutation(len(segments))
@@ -139,9 +198,7 @@ def fit(texts: list[str], languages: list[str], buckets: int = 1 << 15, dim: int
             ids, weight, owner = [], [], []
             for row, i in enumerate(batch):
                 for w in segments[i]:
-                    g = grams.get(w)
-                    if g is None:
-                        g = grams[w] = np.array(subwords(w, buckets))
+                    g = grams[w]
                     ids.append(g)
                     weight.append(np.full(len(g), 1 / (len(g) * len(segments[i]))))
                     owner.append(np.full(len(g), row))
@@ -162,40 +219,52 @@ def fit(texts: list[str], languages: list[str], buckets: int = 1 << 15, dim: int
 def _calibrate(model: LanguageModel, texts: list[str], languages: list[str]) -> None:
     """Temperature of least log loss; thresholds by the quantile ``REJECTED`` of the rightly found segments of each length."""
     scorer = Scorer(model)
-    seen = [(scorer.logits(words_of(t)), model.languages.index(lang)) for t, lang in zip(texts, languages, strict=True) if words_of(t)]
-    if not seen:
+    split = [(words, model.languages.index(lang)) for t, lang in zip(texts, languages, strict=True) if (words := words_of(t))]
+    if not split:
         return
-    logits, right = np.array([x for x, _ in seen]), np.array([y for _, y in seen])
+    logits, right = scorer.logits([words for words, _ in split]), np.array([y for _, y in split])
     losses = {}
-    for t in np.geomspace(0.1, 20, 40):
+    for t in np.geomspace(0.2, 20, 50):
         model.temperature = float(t)
         losses[float(t)] = -np.log(np.maximum(model.probabilities(logits)[np.arange(len(right)), right], 1e-12)).mean()
     model.temperature = min(losses, key=losses.get)
     rng, thresholds = np.random.default_rng(1), []
     for size in BANDS:
-        odds = []
-        for t, lang in zip(texts, languages, strict=True):
-            words = words_of(t)
-            for _ in range(SEGMENTS if len(words) >= size else 0):
-                start = rng.integers(0, len(words) - size + 1)
-                p = model.probabilities(scorer.logits(words[start : start + size]))
-                if model.languages[int(p.argmax())] == lang:
-                    odds.append(np.log(p.max()) - np.log(max(1 - p.max(), 1e-15)))
-        if len(odds) >= ENOUGH:
-            asked = ASKED * max(0.0, float(np.quantile(odds, REJECTED)))
-            thresholds.append((size, float(1 / (1 + np.exp(-asked)))))
+        drawn = [(words[(at := int(rng.integers(0, len(words) - size + 1))) : at + size], y) for words, y in split if len(words) >= size for _ in range(SEGMENTS)]
+        if not drawn:
+            continue
+        p, y = model.probabilities(scorer.logits([words for words, _ in drawn])), np.array([y for _, y in drawn])
+        found = p[:, :-1].max(axis=1)[p[:, :-1].argmax(axis=1) == y]
+        if len(found) >= ENOUGH:
+            thresholds.append((size, float(np.quantile(found, REJECTED))))
     model.thresholds = tuple(thresholds)
 
 
+def _pieces(text: str) -> str:
+    """The words of a text, of a long one those of ``PIECES`` pieces over the whole of it."""
+    words = words_of(text)
+    if len(words) <= PIECES * PIECE:
+        return " ".join(words)
+    starts = [i * (len(words) - PIECE) // (PIECES - 1) for i in range(PIECES)]
+    return " ".join(w for at in starts for w in words[at : at + PIECE])
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Fits on about ``sample`` rows of each language (doc_id, text, lang) at most, drawn by hashes of doc_id.
 
     ``docs`` are the rows that may be learned from; those with a null text, lang or doc_id teach nothing.
+    Only pieces of the sample's texts come to the driver: ``PIECES * PIECE`` words a row at most.
     """
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = [_pieces(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(pieces, pa.string())], ["doc_id", "lang", "text"])
+
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("string"), F.col("lang").cast("string"), "text")
     picked = sample_of_each(rows.select("doc_id", "lang"), "lang", sample)
-    taught = rows.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text", "lang").collect()  # sample rows a language
-    taught.sort(key=lambda r: (r.doc_id, r.lang, r.text))
+    some = rows.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")
+    taught = sorted(some.mapInArrow(run, "doc_id string, lang string, text string").collect())  # sample rows a language
     return fit([r.text for r in taught], [r.lang for r in taught]) if taught else LanguageModel([], np.zeros((1, 1)), np.zeros((1, 0)), np.zeros(0))
 
 
@@ -211,7 +280,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.judge(t) for t in batch.column(names.index("text")).to_pylist()]
+            found = scorer.judge_all(batch.column(names.index("text")).to_pylist())
             out = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*names, "lang_pred", "score", "rejected"])
 

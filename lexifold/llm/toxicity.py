@@ -32,15 +32,14 @@ _WORDS = re.compile(r"\w+")
 
 WINDOW = 24
 STRIDE = 12
-#: Rows of each label that are learnt from at most, and the longest text among them in code points.
+#: Rows of each label that are learnt from at most, whole texts.
 SAMPLE = 2_048
-SAMPLE_CHARS = 12_000
 #: A text is called toxic from this score on.
 THRESHOLD = 0.3
 CHARS, BUCKETS = 512, 1 << 13
 #: Characters that are read of a word at once; longer words are read in parts that overlap by half.
 WORD_CHARS = 16
-CACHE = 500_000
+CACHE = 250_000
 F32 = np.float32
 
 
@@ -334,7 +333,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     with several labels counts as toxic if one of them does.  With no rows the model is untrained.
     """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
+    rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
     usable = rows.select("doc_id").distinct().join(marked, "doc_id")
     picked = sample_of_each(usable, "toxic", sample)
     taught = sorted(rows.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").collect())  # sample rows a label

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 from lexifold.llm import bpe
 
-from .fixtures import ROWS, edge, empty
+from .fixtures import ROWS, edge, empty, plain
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -53,4 +54,40 @@ def test_documents(spark, both):
     for i, t, *_ in ROWS:
         assert rows[i, tuple(both[1].encode(t or "", add_special_tokens=False).ids)] == (t or "")
     assert bpe.encode_documents(empty(spark), PATH).collect() == [] and bpe.encoded_digests(empty(spark), PATH).collect() == []
-    assert bpe.encoded_digests(edge(spark), PATH).count() == len(ROWS)
+
+
+def test_digests_are_the_library_s(spark, both):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = table.unionByName(edge(spark).select("doc_id", "text"))
+    expected = []
+    for r in docs.collect():
+        ids = both[1].encode(r.text or "", add_special_tokens=False).ids
+        decoded = both[1].decode(ids, skip_special_tokens=False)
+        expected.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    assert plain(bpe.encoded_digests(docs, PATH), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(expected, key=repr)
+
+
+def test_what_is_kept_moves_no_ids(both, monkeypatch):
+    for name in ("MOVES", "CACHE"):
+        monkeypatch.setattr(bpe, name, 3)
+    small = bpe.Automaton(bpe.read_tokenizer(PATH))
+    for text in ("the theater of therapists, then: thermal aaaaaaa", " erreth was ofretihaou the that edouhe"):
+        assert small.encode(text) == both[0].encode(text)
+    assert len(small.moves) <= 3 and len(small.cache) <= 3
+
+
+def test_backtracking_against_plain_merging(both):
+    """Words in which the longest token is often wrong, against merging pairs by rank."""
+    rng = random.Random(4)
+    spec = {"labels": {0: b"a", 1: b"b", 2: b"ab", 3: b"ba", 4: b"aba", 5: b"abab", 6: b"bb"}, "bytes": [0, 1], "merges": [(1, 0, 3), (0, 1, 2), (2, 0, 4), (2, 2, 5), (1, 1, 6)], "special": {}}
+    own = bpe.Automaton(spec)
+    for _ in range(300):
+        word = bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 14)))
+        ids = [b - 97 for b in word]
+        while True:
+            pairs = [(r, i) for i in range(len(ids) - 1) for r, (u, v, _) in enumerate(spec["merges"]) if (u, v) == (ids[i], ids[i + 1])]
+            if not pairs:
+                break
+            r, i = min(pairs)
+            ids[i : i + 2] = [spec["merges"][r][2]]
+        assert own.encode_word(word) == ids

@@ -51,8 +51,33 @@ def test_nothing_to_learn_from(spark):
 def test_word_shares_add_up_to_the_network():
     model = language_id.fit(["aa bb", "cc dd"] * 10, ["x", "y"] * 10)
     words = language_id.words_of("aa bb zz")
-    hidden = np.mean([model.embeddings[language_id.subwords(w, len(model.embeddings))].mean(axis=0) for w in words], axis=0)
-    assert np.allclose(language_id.Scorer(model).logits(words), hidden @ model.weights)
+    hidden = np.mean([model.embeddings[language_id.subwords([w], len(model.embeddings))[0]].mean(axis=0) for w in words], axis=0)
+    assert np.allclose(language_id.Scorer(model).logits([words, []]), [hidden @ model.weights, np.zeros(3)])
+
+
+def test_subwords_of_many_words_are_those_of_each():
+    words = ["a", "été", "straße", "x" * 300, "😀b"]
+    ids, counts = language_id.subwords(words, 1 << 15)
+    assert counts.tolist() == [3 * (len(w) + 2) - 3 for w in words]
+    assert ids.tolist() == [i for w in words for i in language_id.subwords([w], 1 << 15)[0]]
+
+
+def test_what_is_kept_moves_no_score(monkeypatch):
+    rng = random.Random(3)
+    model = language_id.fit([sentence(rng, lang, 30) for lang in SYLLABLES for _ in range(30)], [lang for lang in SYLLABLES for _ in range(30)])
+    texts = [sentence(rng, "aa", n) for n in (1, 50, 400)] + [None, "12"]
+    whole = language_id.Scorer(model).judge_all(texts)
+    monkeypatch.setattr(language_id, "CACHE", 20)
+    monkeypatch.setattr(language_id, "AT_ONCE", 15)
+    parts = language_id.Scorer(model).judge_all(texts)
+    assert [x[::2] for x in whole] == [x[::2] for x in parts] and np.allclose([x[1] for x in whole], [x[1] for x in parts])
+
+
+def test_long_texts_teach_by_pieces_of_the_whole():
+    words = [f"w{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(5_000)]
+    kept = language_id._pieces(" ".join(words)).split()
+    assert len(kept) == language_id.PIECES * language_id.PIECE and kept[0] == words[0] and kept[-1] == words[-1]
+    assert language_id._pieces("un texte court") == "un texte court"
 
 
 def test_gradients_match_differences():
@@ -120,7 +145,8 @@ def test_unlearned_languages_and_random_letters_are_rejected(spark, corpus):
     scorer = language_id.Scorer(model)
     cyrillic = lambda: "".join(rng.choice(["ко", "ла", "ми", "ста", "ро", "ни"]) for _ in range(3))
     letters = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10)))
-    for word in (cyrillic, letters):
+    other = lambda: "".join(rng.choice(["ska", "lj", "och", "att", "för"]) for _ in range(rng.randrange(1, 4)))
+    for word in (cyrillic, letters, other):
         assert np.mean([scorer.judge(" ".join(word() for _ in range(60)))[2] for _ in range(100)]) > 0.9
     clean = [sentence(rng, lang, n) for lang in SYLLABLES for n in (1, 3, 10, 40, 200) for _ in range(40)]
     assert np.mean([scorer.judge(t)[2] for t in clean]) < 0.02
