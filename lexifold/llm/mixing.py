@@ -5,37 +5,35 @@ makes the mixture flatter, and repeats small sources more often.  ``alpha`` is f
 largest that reaches the target entropy, or, if that would repeat some source more often than the
 limit, the smallest that keeps the limit.
 
+Sources are never gathered: a pass of the bisection sums over the table of their totals, for several
+exponents at once, and what is known of a source is a row of a table.
+
 The weights are realised as budgeted block permutations.  A source's budget is a number of tokens:
 whole passes over the source, and for the rest a permutation of its blocks (documents by a hash of
-their ids) up to the budget; in the block that crosses it, documents in the order of another hash.
-A source's decision is thus four numbers - passes, the block where the last pass ends, and the last
-document in it - so documents are dealt where they are read and their texts are never shuffled.
+their ids) up to the budget; the block that crosses it is permuted in the same way by smaller
+blocks, and in the small one that crosses, documents go in the order of another hash.  A source's
+decision is thus five numbers - passes, the block and the small block where the last pass ends, and
+the last document in it - so documents are dealt where they are read and their texts are never
+shuffled.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Blocks of a source at most; the blocks of one source are put in order in one task.
+#: Blocks of a source, and small blocks of a block, at most; those of one source are put in order in one task.
 BLOCKS = 4_096
 BLOCK_ROWS = 256
-#: Sources that are weighed at most: their totals are gathered for the bisection.
-MAX_SOURCES = 1_000_000
 #: Up to so many sources (some 20 MB) their decisions are broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 200_000
-
-
-@dataclass
-class Weights:
-    alpha: float
-    weight: dict[str | None, float]
-    copies: dict[str | None, float]
+#: Exponents that one pass of the bisection looks at (four halvings), and passes.
+AT_ONCE, PASSES = 15, 10
 
 
 def n_tokens(text: Column) -> Column:
@@ -43,92 +41,110 @@ def n_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
 
 
-def _tempered(tokens: dict, alpha: float) -> dict:
-    total = sum(tokens.values())
-    raised = {s: (n / total) ** alpha for s, n in tokens.items()}
-    whole = sum(raised.values())
-    return {s: x / whole for s, x in raised.items()}
+#: For each exponent ``a`` the sums over all sources of ``p ** a`` and of ``p ** a * log p``.
+Sums = Callable[[list[float]], list[tuple[float, float]]]
+
+
+def _sums(totals: DataFrame, total: int) -> Sums:
+    share = totals.select((F.col("tokens") / total).alias("p"))
 
+    def at(alphas: list[float]) -> list[tuple[float, float]]:
+        each = share.withColumn("a", F.explode(F.array(*map(F.lit, sorted(set(alphas)))))).withColumn("x", F.pow("p", "a"))
+        found = {r.a: (r.z, r.s) for r in each.groupBy("a").agg(F.sum("x").alias("z"), F.sum(F.col("x") * F.log("p")).alias("s")).collect()}  # a row for each exponent
+        return [found[a] for a in alphas]
 
-def _entropy(weight: dict) -> float:
-    """As a part of the largest possible; 1 for a single source."""
-    return 1.0 if len(weight) < 2 else -sum(w * math.log(w) for w in weight.values() if w > 0) / math.log(len(weight))
+    return at
 
 
-def _bisect(ok, low: float = 0.0, high: float = 1.0) -> float:
+def _bisect(ok: Callable[[list[float]], list[bool]], low: float = 0.0, high: float = 1.0) -> float:
     """The point between ``low`` (where ``ok`` holds) and ``high`` up to which it holds."""
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if ok(middle) else (low, middle)
+    for _ in range(PASSES):
+        points = [low + (high - low) * i / (AT_ONCE + 1) for i in range(1, AT_ONCE + 1)]
+        held = ok(points)
+        last = next((i for i, x in enumerate(held) if not x), AT_ONCE)
+        low, high = ([low, *points][last], [*points, high][last])
     return low
 
 
-def temper(tokens: dict[str | None, int], entropy: float, repeat: float, budget: int | None = None) -> Weights:
-    """Weights of sources with so many ``tokens`` each.
+def exponent(at: Sums, n: int, least: float, most: float, entropy: float, repeat: float, passes: float | None = None) -> float:
+    """The exponent for ``n`` sources whose shares lie between ``least`` and ``most``.
 
-    ``entropy`` is a part of the largest possible, ``repeat`` how often a source may be passed over.
-    With no ``budget`` the whole mixture is as large as it takes for every source to be passed over at
-    least once; a smaller budget leaves out parts of the largest sources.
+    ``entropy`` is a part of the largest possible, ``repeat`` how often a source may be passed over,
+    ``passes`` the budget in passes over everything.
     """
-    if not tokens:
-        return Weights(1.0, {}, {})
 
-    def copies(alpha: float) -> dict:
-        weight = _tempered(tokens, alpha)
-        whole = budget if budget is not None else max(n / weight[s] for s, n in tokens.items())
-        return {s: weight[s] * whole / n for s, n in tokens.items()}
+    def flat_enough(alphas: list[float]) -> list[bool]:
+        return [n < 2 or (math.log(z) - a * s / z) / math.log(n) >= entropy for a, (z, s) in zip(alphas, at(alphas), strict=True)]
 
-    flat_enough = lambda a: _entropy(_tempered(tokens, a)) >= entropy
-    alpha = 1.0 if flat_enough(1.0) else _bisect(flat_enough) if flat_enough(0.0) else 0.0
-    seldom = lambda a: max(copies(a).values()) <= repeat
-    if not seldom(alpha):
-        alpha = 1.0 if not seldom(1.0) else 1.0 - _bisect(lambda x: seldom(1.0 - x), 0.0, 1.0 - alpha)
-    least = min(1.0, repeat) if budget is None else 0.0
-    return Weights(alpha, _tempered(tokens, alpha), {s: max(_whole(min(c, repeat)), least) for s, c in copies(alpha).items()})
+    def seldom(alphas: list[float]) -> list[bool]:
+        if passes is None:  # the largest source is passed over once
+            return [(most / least) ** (1 - a) <= repeat for a in alphas]
+        return [least ** (a - 1) / z * passes <= repeat for a, (z, _) in zip(alphas, at(alphas), strict=True)]
 
+    alpha = 1.0 if flat_enough([1.0])[0] else _bisect(flat_enough) if flat_enough([0.0])[0] else 0.0
+    if not seldom([alpha])[0]:
+        alpha = 1.0 if not seldom([1.0])[0] else 1.0 - _bisect(lambda points: seldom([1.0 - x for x in points]), 0.0, 1.0 - alpha)
+    return alpha
 
-def _whole(copies: float) -> float:
-    """``copies`` without the rounding of doubles, which would take a document from whole passes."""
-    near = round(copies)
-    return float(near) if abs(copies - near) < 1e-9 else copies
 
+def temper(totals: DataFrame, entropy: float, repeat: float, budget: int | None = None) -> DataFrame:
+    """``totals`` (source, tokens, ...) with ``weight``, ``passes`` (whole ones) and ``rest`` (tokens of one more).
 
-def _hashes(seed: int) -> tuple[Column, Column, Column]:
-    """Block number before the modulus, and the document's place in its block, from its id."""
+    With no ``budget`` the whole mixture is as large as it takes for every source to be passed over at
+    least once; a smaller budget leaves out parts of the largest sources.
+    """
+    n, total, low, high = totals.agg(F.count(F.lit(1)), F.sum("tokens"), F.min("tokens"), F.max("tokens")).first()
+    if not n:
+        return totals.withColumns({"weight": F.lit(0.0), "passes": F.lit(0), "rest": F.lit(0.0)})
+    at, most = _sums(totals, total), high / total
+    alpha = exponent(at, n, low / total, most, entropy, repeat, None if budget is None else budget / total)
+    ((z, _),) = at([alpha])
+    share = F.col("tokens") / total
+    copies = F.pow(share, F.lit(alpha - 1)) * ((budget / total / z) if budget is not None else most ** (1 - alpha))
+    copies = F.least(copies, F.lit(float(repeat)))
+    copies = F.when(F.abs(copies - F.round(copies)) < 1e-9, F.round(copies)).otherwise(copies)  # whole passes are not lost to rounding
+    copies = F.greatest(copies, F.lit(min(1.0, repeat) if budget is None else 0.0))
+    out = totals.withColumns({"weight": F.pow(share, F.lit(alpha)) / z, "_copies": copies}).withColumn("passes", F.floor("_copies").cast("int"))
+    out = out.withColumn("rest", F.round((F.col("_copies") - F.col("passes")) * F.col("tokens"), 6)).drop("_copies")
+    full = F.col("rest") >= F.col("tokens")
+    return out.withColumns({"passes": F.col("passes") + full.cast("int"), "rest": F.when(full, 0.0).otherwise(F.col("rest"))})
+
+
+def _with_places(rows: DataFrame, blocks: str, small: str, seed: int) -> DataFrame:
+    """``rows`` with ``_order`` and ``_small``, where a document's block and small block come in the permutation, and ``_place``."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return F.xxhash64(F.lit(seed), key), F.xxhash64(F.lit(seed + 1), key), F.lit(seed + 2)
+    number = lambda i, n: F.pmod(F.xxhash64(F.lit(seed + i), key), F.col(n)).cast("int")
+    own = F.coalesce(F.col("source"), F.lit(""))
+    rows = rows.withColumn("_order", F.xxhash64(F.lit(seed + 2), own, number(0, blocks)))
+    return rows.withColumns({"_small": F.xxhash64(F.lit(seed + 4), "_order", number(3, small)), "_place": F.xxhash64(F.lit(seed + 1), key)})
 
 
-def _with_places(rows: DataFrame, blocks: Column, seed: int) -> DataFrame:
-    block, place, salt = _hashes(seed)
-    rows = rows.withColumns({"_block": F.pmod(block, blocks).cast("int"), "_place": place})
-    return rows.withColumn("_order", F.xxhash64(salt, F.coalesce(F.col("source"), F.lit("")), F.col("_block")))
+def _crossing(rows: DataFrame, key: str) -> DataFrame:
+    """For each source the block (by ``key``) in which the sum of tokens crosses ``_left``: (source, key, left), left being what may be taken of it."""
+    blocks = rows.groupBy("source", key).agg(F.sum("tokens").alias("tokens"), F.first("_left").alias("_left"))
+    upto = F.sum("tokens").over(Window.partitionBy("source").orderBy(key))  # BLOCKS rows of a source at most
+    over = blocks.withColumn("_upto", upto).where(F.col("_upto") > F.col("_left"))
+    cut = F.struct(F.col(key), (F.col("_left") - F.col("_upto") + F.col("tokens")).alias("left"))
+    return checkpointed(over.groupBy("source").agg(F.min_by(cut, "_upto").alias("c")).select("source", F.col(f"c.{key}").alias("at"), "c.left"))
 
 
 def plan(docs: DataFrame, entropy: float = 0.95, repeat: float = 2.0, budget: int | None = None, seed: int = 17) -> DataFrame:
-    """A row for each source: blocks, weight, passes, and where the last pass ends (cut_order, cut_place)."""
-    spark = docs.sparkSession
-    narrow = checkpointed(docs.select("doc_id", "source", n_tokens(F.col("text")).alias("tokens")))
-    totals = narrow.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    weights = temper({r.source: r.tokens for r in totals}, entropy, repeat, budget)
-    table = [
-        (r.source, max(1, min(BLOCKS, r.rows // BLOCK_ROWS)), weights.weight[r.source], int(weights.copies[r.source]), round((weights.copies[r.source] % 1) * r.tokens, 6))
-        for r in totals
-    ]
-    sources = spark.createDataFrame(table, "source string, blocks int, weight double, passes int, rest double")
-
-    placed = _with_places(_by_source(narrow, sources.select("source", "blocks", "rest")), F.col("blocks"), seed)
-    blocks = placed.groupBy("source", "_order").agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest"))
-    upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("_order"))  # BLOCKS rows of a source at most
-    over = blocks.withColumn("_upto", upto).where(F.col("_upto") > F.col("rest"))
-    cut = F.struct(F.col("_order").alias("cut_order"), (F.col("rest") - F.col("_upto") + F.col("tokens")).alias("left"))
-    crossing = checkpointed(over.groupBy("source").agg(F.min_by(cut, "_upto").alias("c")).select("source", "c.*"))
-    inside = _by_source(placed, crossing).where(F.col("_order") == F.col("cut_order"))
-    filled = inside.withColumn("_upto", F.sum("tokens").over(Window.partitionBy("source").orderBy("_place")))
+    """A row for each source of ``docs`` (doc_id, source, tokens): blocks, small, weight, passes, and where the last pass ends."""
+    narrow = checkpointed(docs.select("doc_id", "source", "tokens"))
+    totals = checkpointed(narrow.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")))
+    bounded = lambda rows: F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.floor(F.col("rows") / rows))).cast("int")
+    sources = temper(totals, entropy, repeat, budget).withColumns({"blocks": bounded(BLOCK_ROWS), "small": bounded(BLOCK_ROWS * BLOCKS)})
+    sources = checkpointed(sources.drop("tokens", "rows"))
+
+    placed = _with_places(_by_source(narrow, sources.select("source", "blocks", "small", F.col("rest").alias("_left"))), "blocks", "small", seed)
+    first = _crossing(placed, "_order")
+    inside = _by_source(placed.drop("_left"), first.withColumnRenamed("left", "_left")).where(F.col("_order") == F.col("at")).drop("at")
+    second = _crossing(inside, "_small")
+    inside = _by_source(inside.drop("_left"), second).where(F.col("_small") == F.col("at"))
+    filled = inside.withColumn("_upto", F.sum("tokens").over(Window.partitionBy("source").orderBy("_place")))  # some BLOCK_ROWS rows of a source
     last = filled.where(F.col("_upto") <= F.col("left")).groupBy("source").agg(F.max("_place").alias("cut_place"))
-    return _by_source(_by_source(sources, crossing.select("source", "cut_order")), last).drop("rest")
+    out = _by_source(sources.drop("rest"), first.select("source", F.col("at").alias("cut_order")))
+    return _by_source(_by_source(out, second.select("source", F.col("at").alias("cut_small"))), last)
 
 
 def _by_source(rows: DataFrame, facts: DataFrame) -> DataFrame:
@@ -137,21 +153,24 @@ def _by_source(rows: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.join(facts, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
 
 
-def with_copies(docs: DataFrame, entropy: float = 0.95, repeat: float = 2.0, budget: int | None = None, seed: int = 17) -> DataFrame:
+def with_copies(docs: DataFrame, entropy: float = 0.95, repeat: float = 2.0, budget: int | None = None, seed: int = 17, tokens: Column | None = None) -> DataFrame:
     """``docs`` with ``copies``, how often each document is in the mixture, and its source's ``weight``.
 
-    A null source is a source of its own; rows without an id are dealt by their source alone, rows
-    that share an id have the same number of copies.  An empty table gives an empty result.
+    ``tokens`` is a document's size, by default the words of its ``text``.  A null source is a source of
+    its own; rows without an id are dealt by their source alone, rows that share an id have the same
+    number of copies.  An empty table gives an empty result.
     """
-    cuts = checkpointed(plan(docs, entropy, repeat, budget, seed))
+    sized = docs.select("doc_id", "source", (n_tokens(F.col("text")) if tokens is None else tokens).alias("tokens"))
+    cuts = checkpointed(plan(sized, entropy, repeat, budget, seed))
     facts = cuts.select("source", *(F.col(c).alias(f"_mix_{c}") for c in cuts.columns if c != "source"))
     if cuts.count() <= BROADCAST_SOURCES:
         facts = F.broadcast(facts)
-    placed = _with_places(_by_source(docs.drop("copies", "weight"), facts), F.col("_mix_blocks"), seed)
-    cut, inside = F.col("_order") == F.col("_mix_cut_order"), F.coalesce(F.col("_place") <= F.col("_mix_cut_place"), F.lit(False))
-    before = F.coalesce((F.col("_order") < F.col("_mix_cut_order")) | (cut & inside), F.lit(False))
-    dealt = placed.withColumns({"weight": F.col("_mix_weight"), "copies": F.col("_mix_passes") + before.cast("int")})
-    return dealt.drop("_block", "_place", "_order", *(c for c in facts.columns if c != "source"))
+    placed = _with_places(_by_source(docs.drop("copies", "weight"), facts), "_mix_blocks", "_mix_small", seed)
+    order, small, place = (F.col(c) for c in ("_order", "_small", "_place"))
+    cut, cut_small = F.col("_mix_cut_order"), F.col("_mix_cut_small")
+    before = (order < cut) | ((order == cut) & ((small < cut_small) | ((small == cut_small) & F.coalesce(place <= F.col("_mix_cut_place"), F.lit(False)))))
+    dealt = placed.withColumns({"weight": F.col("_mix_weight"), "copies": F.col("_mix_passes") + F.coalesce(before, F.lit(False)).cast("int")})
+    return dealt.drop("_order", "_small", "_place", *(c for c in facts.columns if c != "source"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, language_id, line_dedup, mixing, neighbours, sharding, simhash, toxicity, url_filter
-from .common import table
+from .common import checkpointed, table
 
 
 
@@ -88,9 +88,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    dealt = mixing.with_copies(docs, entropy=0.95, repeat=2.0)
-    return dealt.select("doc_id", "source", mixing.n_tokens(F.col("text")).alias("n_tokens"), "weight", "copies")
+    docs = table(spark, sf_dir, "documents")
+    sized = checkpointed(docs.select("doc_id", "source", mixing.n_tokens(F.col("text")).alias("n_tokens")))
+    dealt = mixing.with_copies(sized, entropy=0.95, repeat=2.0, tokens=F.col("n_tokens"))
+    return dealt.select("doc_id", "source", "n_tokens", "weight", "copies")
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

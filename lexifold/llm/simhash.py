@@ -14,7 +14,6 @@ has 65 such neighbours at most, so these groups are small however large the buck
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -125,47 +124,37 @@ def query_components(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For near duplicates by text: bits in which the prints of the sets of words may differ, and prints of a text.
-RADIUS, PRINTS = 4, 2
+#: For near duplicates by text: bits in which the prints of sets of words may differ to be candidates for certain.
+RADIUS = 3
 #: Texts whose shingles are counted to put rare ones first, texts of these that make a shingle
 #: frequent, and frequent shingles that are told apart.  They move the work, never the result.
 COUNTED, FREQUENT, TOLD_APART = 16_384, 3, 200_000
 #: Rows of a crowded bucket that one task holds against those of other groups.
 BLOCK = 1_024
+#: Words whose hashes a worker keeps.
+CACHE = 60_000
 
 
-def _prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, exact, fp0, fp1): a digest of the word sequence and two prints of the set of words."""
+class _WordPrints:
+    """SimHash prints of sets of words; keeps hashes of words, ``CACHE`` of them at most."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        rows = np.empty((1 << 18, PRINTS), np.uint64)
-        for batch in batches:
-            exact, fps = [], []
-            for t in batch.column("text").to_pylist():
-                words = words_of(t)
-                exact.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
-                own = set(words)
-                if len(known) + len(own) > len(rows):
-                    known.clear()
-                if len(own) > len(rows):
-                    hashes = np.array([[xxhash.xxh64_intdigest(w, SEED + i) for i in range(PRINTS)] for w in own], np.uint64)
-                else:
-                    for w in own:
-                        if w not in known:
-                            rows[len(known)] = [xxhash.xxh64_intdigest(w, SEED + i) for i in range(PRINTS)]
-                            known[w] = len(known)
-                    hashes = rows[[known[w] for w in own]]
-                fps.append([majority(hashes[:, i]) if own else 0 for i in range(PRINTS)])
-            columns = [_signed([f[i] for f in fps]) for i in range(PRINTS)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(exact, pa.string()), *columns], ["doc_id", "exact", *(f"fp{i}" for i in range(PRINTS))])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, exact string, " + ", ".join(f"fp{i} long" for i in range(PRINTS)))
-
-
-def _runs(text: str | None, size: int) -> np.ndarray:
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+
+    def of(self, words: list[bytes]) -> int:
+        own = set(words)
+        if len(self.known) + len(own) > CACHE:
+            self.known.clear()
+        new = {w: xxhash.xxh64_intdigest(w, SEED) for w in own if w not in self.known}
+        hashes = np.array([new[w] if w in new else self.known[w] for w in own], np.uint64)
+        if len(new) <= CACHE:
+            self.known |= new
+        return majority(hashes) if own else 0
+
+
+def _runs(words: list[bytes], size: int) -> np.ndarray:
     """The set of 32-bit hashes of the shingles, in order."""
-    return np.unique(np.array([xxhash.xxh32_intdigest(s) for s in shingles(words_of(text), size)], np.uint32).view(np.int32))
+    return np.unique(np.array([xxhash.xxh32_intdigest(s) for s in shingles(words, size)], np.uint32).view(np.int32))
 
 
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -173,7 +162,7 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_runs(t, size) for t in batch.column("text").to_pylist()]
+            sets = [_runs(words_of(t), size) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "runs"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, runs array<int>")
@@ -191,8 +180,9 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(doc_id, exact, n, marks, prefix): a digest of the word sequence, the number of shingles, their
-    parities by 256 cells, and the first shingles in an order that all texts share, rare ones first.
+    """(doc_id, exact, fp, n, marks, prefix): a digest of the word sequence, the SimHash print of the set of
+    words, the number of shingles, their parities by 256 cells, and the first shingles in an order that
+    all texts share, rare ones first.
 
     Two sets of which the larger has ``n`` shingles have ``similarity * n`` or more in common if they
     are near, so they share one of the first ``n - ceil(similarity * n) + 1`` of each.
@@ -201,11 +191,14 @@ def _prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = shared.value
+        prints = _WordPrints()
         for batch in batches:
-            exact, n, marks, prefix = [], [], [], []
+            exact, fps, n, marks, prefix = [], [], [], [], []
             for t in batch.column("text").to_pylist():
-                exact.append(xxhash.xxh3_128_hexdigest(b" ".join(words_of(t))))
-                runs = _runs(t, size)
+                words = words_of(t)
+                exact.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
+                fps.append(prints.of(words))
+                runs = _runs(words, size)
                 n.append(len(runs))
                 marks.append(np.packbits(np.bincount(runs & 255, minlength=256) % 2 == 1).view(np.int64))
                 often = np.zeros(len(runs), np.int64)
@@ -214,10 +207,10 @@ def _prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
                     often = np.where(frequent[at] == runs, counts[at], 0)
                 first = len(runs) - math.ceil(similarity * len(runs) - 1e-9) + 1 if len(runs) else 0
                 prefix.append(runs[np.lexsort((runs, often))[:first]])
-            columns = [pa.array(exact, pa.string()), pa.array(n, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "exact", "n", "marks", "prefix"])
+            columns = [pa.array(exact, pa.string()), _signed(fps), pa.array(n, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "exact", "fp", "n", "marks", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, exact string, n int, marks array<long>, prefix array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, exact string, fp long, n int, marks array<long>, prefix array<int>")
 
 
 def _may_be_near(similarity: float, a: str, b: str) -> Column:
@@ -227,47 +220,46 @@ def _may_be_near(similarity: float, a: str, b: str) -> Column:
     return (F.least(n, m) + 1e-6 >= similarity * F.greatest(n, m)) & (apart * (1 + similarity) <= (n + m) * (1 - similarity) + 1e-6)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int | None = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, group_id) of all rows with an id; group_id is the smallest id of a group of near duplicates.
 
     Texts are near duplicates if the sets of their ``size``-word shingles have a Jaccard similarity of
-    ``similarity`` or more and, with a ``radius``, one of the ``PRINTS`` SimHash prints of their sets of
-    words differs in no more bits; groups are connected.  Copies (the same sequence of words, none
-    included) are one text.
-
-    Texts that share a shingle of their prefixes (see ``_prefixes``) are candidates: a bucket is a
-    shingle.  First each text is compared with two others of a bucket.  Then, where a bucket has texts
-    of several groups, every text outside its largest group is compared with all of other groups, so
-    each candidate pair is compared or already connected.
+    ``similarity`` or more; groups are connected.  Copies (the same sequence of words, none included)
+    are one text.
+
+    Candidates come from two kinds of buckets: the covering tables of the SimHash prints of the sets of
+    words, which hold all pairs within ``RADIUS`` bits, and the shingles of the prefixes (see
+    ``_prefixes``), which hold every near pair, as prints alone do not.  First each text is compared with two others of each of its
+    buckets; what the prints find is connected then.  After that, where a prefix's bucket has texts of
+    several groups, every text outside its largest group is compared with all of other groups, so that
+    each near pair has been compared or was connected already.
     """
     known = docs.where(F.col("doc_id").isNotNull())
     described = checkpointed(_prefixes(known, size, similarity))
-    texts = described.groupBy("exact").agg(F.min(F.struct("doc_id", "n", "marks", "prefix")).alias("t")).select("exact", F.col("t.doc_id").alias("text_id"), "t.n", "t.marks", "t.prefix")
-    if radius is not None:
-        prints = _prints(known).groupBy("exact").agg(F.array(*(F.first(f"fp{i}") for i in range(PRINTS))).alias("fps"))
-        texts = texts.join(prints, "exact")
-    texts = checkpointed(texts)
+    one = described.groupBy("exact").agg(F.min(F.struct("doc_id", "fp", "n", "marks", "prefix")).alias("t"))
+    texts = checkpointed(one.select("exact", F.col("t.doc_id").alias("text_id"), "t.fp", "t.n", "t.marks", "t.prefix"))
 
     def links(pairs: DataFrame) -> DataFrame:
         """The near ones of ``pairs`` (a, b)."""
-        facts = texts.select("text_id", F.struct("n", "marks", *(["fps"] if radius is not None else [])).alias("f"))
+        facts = texts.select("text_id", F.struct("n", "marks").alias("f"))
         left, right = facts.select(F.col("text_id").alias("a"), F.col("f").alias("fa")), facts.select(F.col("text_id").alias("b"), F.col("f").alias("fb"))
-        likely = pairs.distinct().join(left, "a").join(right, "b").where(_may_be_near(similarity, "fa", "fb"))
-        if radius is not None:
-            close = [F.bit_count(F.col("fa.fps")[i].bitwiseXOR(F.col("fb.fps")[i])) <= radius for i in range(PRINTS)]
-            likely = likely.where(functools.reduce(Column.__or__, close))
-        likely = checkpointed(likely.select("a", "b").distinct())
+        likely = checkpointed(pairs.distinct().join(left, "a").join(right, "b").where(_may_be_near(similarity, "fa", "fb")).select("a", "b"))
         wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
         sets = checkpointed(_shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), size))
         left, right = sets.select(F.col("doc_id").alias("a"), F.col("runs").alias("a_runs")), sets.select(F.col("doc_id").alias("b"), F.col("runs").alias("b_runs"))
         compared = likely.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("a_runs", "b_runs")))
         return checkpointed(compared.where(F.col("both") >= similarity * (F.size("a_runs") + F.size("b_runs") - F.col("both"))).where("both > 0").select("a", "b"))
 
-    rows = texts.select("text_id", "n", F.posexplode("prefix").alias("at", "run"))
-    bucket = Window.partitionBy("run").orderBy(F.xxhash64("text_id"), "text_id")
-    seen = rows.withColumns({"_first": F.first("text_id").over(bucket), "_before": F.lag("text_id").over(bucket), "_after": F.lead("text_id").over(bucket)})
-    rows = checkpointed(seen.where("_before is not null or _after is not null").drop("_after"))
-    pairs = rows.where("_before is not null").select("text_id", F.explode(F.array("_first", "_before")).alias("o")).where("text_id <> o")
+    def some_pairs(rows: DataFrame, *bucket: str) -> DataFrame:
+        """Each row of a bucket of two or more with the bucket's first one and the one before it."""
+        order = Window.partitionBy(*bucket).orderBy(F.xxhash64("text_id"), "text_id")
+        return rows.withColumns({"_first": F.first("text_id").over(order), "_before": F.lag("text_id").over(order), "_after": F.lead("text_id").over(order)}).where("_before is not null or _after is not null").drop("_after")
+
+    tables = keyed(texts.where("n > 0").select("text_id", "fp"), "fp", covering_masks(RADIUS))
+    by_print = some_pairs(tables, "mask", "key")
+    rows = checkpointed(some_pairs(texts.select("text_id", "n", F.posexplode("prefix").alias("at", "run")), "run"))
+    both = by_print.select("text_id", "_first", "_before").unionByName(rows.select("text_id", "_first", "_before")).where("_before is not null")
+    pairs = both.select("text_id", F.explode(F.array("_first", "_before")).alias("o")).where("text_id <> o")
     found = links(pairs.select(F.greatest("text_id", "o").alias("a"), F.least("text_id", "o").alias("b")))
 
     # Buckets of several groups; their largest group is settled in itself.
@@ -292,8 +284,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, rad
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without near duplicates: of each group the row with the smallest id stays.
 
-    Groups are by the similarity of shingles alone, unless ``options`` name a ``radius`` of the prints.
     Rows without an id stay; rows that share an id stay or go together.
     """
-    gone = checkpointed(near_duplicates(docs, **{"radius": None} | options).where("doc_id <> group_id").select("doc_id").distinct())
+    gone = checkpointed(near_duplicates(docs, **options).where("doc_id <> group_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

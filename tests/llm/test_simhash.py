@@ -101,7 +101,7 @@ def test_components_of_chains_and_stars(spark):
 
 
 def test_near_duplicates_are_what_brute_force_links(spark):
-    """Links are pairs of similarity 0.8 or more of which one print is within the radius."""
+    """Links are pairs of similarity 0.8 or more."""
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     texts = []
@@ -113,20 +113,22 @@ def test_near_duplicates_are_what_brute_force_links(spark):
                 copy[rng.randrange(150)] = word()
             texts.append(" ".join(copy))
     sets = [set(simhash.shingles(simhash.words_of(t), 5)) for t in texts]
-    prints = [[brute_print(t, simhash.SEED + i) for i in range(simhash.PRINTS)] for t in texts]
 
     def linked(a, b):
-        near = any((x ^ y).bit_count() <= simhash.RADIUS for x, y in zip(prints[a], prints[b], strict=True))
-        return near and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+        return len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
 
     got = {r.doc_id: r.group_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     right = brute_components(range(len(texts)), linked)
     assert got == right and len(set(right.values())) < 0.6 * len(texts)
 
 
-def brute_print(text, seed):
-    hashes = [xxhash.xxh64_intdigest(w, seed) for w in set(text.encode().split())]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+def test_prints_of_sets_of_words(monkeypatch):
+    monkeypatch.setattr(simhash, "CACHE", 5)
+    prints = simhash._WordPrints()
+    for text in (b"a b c a", b"a b c d e f g h i j", b"c d", b"", b"x y z a b"):
+        hashes = [xxhash.xxh64_intdigest(w, simhash.SEED) for w in set(text.split())]
+        assert prints.of(text.split()) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert len(prints.known) <= 5
 
 
 def test_stage_keeps_clean_and_odd_rows(spark):
@@ -151,7 +153,7 @@ def groups_of(spark, texts, **options):
 
 
 def test_crowded_buckets_are_settled(spark, monkeypatch):
-    """Texts of one frame share their prints' buckets; all near pairs within the radius are linked."""
+    """Texts of one frame share their prints' buckets; all near pairs are linked."""
     monkeypatch.setattr(simhash, "BLOCK", 8)
     rng = random.Random(11)
     frame, texts = words_like(rng, 120), []
@@ -161,9 +163,7 @@ def test_crowded_buckets_are_settled(spark, monkeypatch):
         copy = [*words[:60], *words_like(rng, 2), *words[62:]]
         texts += [" ".join(words), " ".join(copy)]
     _, near = exact_groups(texts)
-    prints = [[brute_print(t, simhash.SEED + i) for i in range(simhash.PRINTS)] for t in texts]
-    linked = lambda a, b: near(a, b) and any((x ^ y).bit_count() <= simhash.RADIUS for x, y in zip(prints[a], prints[b], strict=True))
-    right = brute_components(range(len(texts)), linked)
+    right = brute_components(range(len(texts)), near)
     assert groups_of(spark, texts) == right and len(set(right.values())) < 260
 
 
