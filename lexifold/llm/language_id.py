@@ -235,8 +235,8 @@ def _calibrate(model: LanguageModel, texts: list[str], languages: list[str]) ->
             continue
         p, y = model.probabilities(scorer.logits([words for words, _ in drawn])), np.array([y for _, y in drawn])
         found = p[:, :-1].max(axis=1)[p[:, :-1].argmax(axis=1) == y]
-        if len(found) >= ENOUGH:
-            thresholds.append((size, float(np.quantile(found, REJECTED))))
+        if len(found) >= ENOUGH:  # too few segments for the quantile ask for less, in proportion
+            thresholds.append((size, float(np.quantile(found, REJECTED)) * min(1.0, REJECTED * len(found))))
     model.thresholds = tuple(thresholds)
 
 
