@@ -17,7 +17,7 @@ from lexifold.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model finds; texts without a letter and rejected ones go."""
+    """Documents whose language the model finds; texts without a letter and those of no learnt language go."""
     columns = docs.columns
     model = language_id.train(docs.where(~F.coalesce(language_id.fold("doc_id", 3) == 1, F.lit(False))))
     return language_id.predict(docs, model).where(~F.col("rejected")).select(*columns)
@@ -29,7 +29,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
     return simhash.one_of_each_group(docs)
 
 
