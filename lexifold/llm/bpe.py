@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: White space as Unicode has it (White_Space), which the pre-splitter's ``\s`` means: fixed values.
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: The pre-splitter's pattern: a fixed value.
@@ -183,7 +185,7 @@ def _mapper(docs: DataFrame, path: str, make, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(shared.value, path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text"))
             made = make(automaton, ["" if t is None else t for t in texts.to_pylist()])
             kept = [c for c in batch.schema.names if c != "text"]

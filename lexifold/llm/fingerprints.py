@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffle_partitions
+from .common import checkpointed, shuffle_partitions, slices
 
 #: Places of the filter that tells which texts can be in a group of two or more; 64 places to a word.
 FILTER_WORDS = 1 << 17
@@ -46,7 +46,7 @@ def digest(form: str) -> str:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         out = [digest(canonical(t)) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "digest"])
 
@@ -78,7 +78,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = FILTER_WORDS * 64
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys, forms = [], [], []
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 form = canonical(t)
@@ -134,7 +134,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
         rows: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, at, ahead, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "ahead", "text")), strict=True):
                 form = canonical(text)
                 now = (doc_id, at, ahead, text, form, digest(form))

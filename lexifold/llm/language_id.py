@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_of_each
+from .common import sample_of_each, slices
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _LATIN = re.compile("[A-Za-z]")
@@ -257,7 +257,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pieces = [_pieces(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(pieces, pa.string())], ["doc_id", "lang", "text"])
 
@@ -279,7 +279,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = scorer.judge_all(batch.column(names.index("text")).to_pylist())
             out = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*names, "lang_pred", "score", "rejected"])

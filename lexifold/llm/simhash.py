@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, slices
 from .components import components
 
 SEED = 42
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """(doc_id, fp long) of every row; a text without words has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = [fingerprint(t, size) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _signed(values)], ["doc_id", "fp"])
 
@@ -161,7 +161,7 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, runs array<int>): the set of 32-bit hashes of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [_runs(words_of(t), size) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "runs"])
 
@@ -192,7 +192,7 @@ def _prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = shared.value
         prints = _WordPrints()
-        for batch in batches:
+        for batch in slices(batches):
             exact, fps, n, marks, prefix = [], [], [], [], []
             for t in batch.column("text").to_pylist():
                 words = words_of(t)

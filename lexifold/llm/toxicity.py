@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_of_each
+from .common import sample_of_each, slices
 from .language_id import fold
 
 _WORDS = re.compile(r"\w+")
@@ -348,11 +348,9 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = np.array(scorer.scores(part.column(names.index("text")).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+        for part in slices(batches):
+            found = np.array(scorer.scores(part.column(names.index("text")).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{schema}, score double, predicted int")
