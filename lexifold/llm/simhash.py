@@ -131,6 +131,8 @@ RADIUS = 3
 COUNTED, FREQUENT, TOLD_APART = 16_384, 3, 200_000
 #: Rows of a crowded bucket that one task holds against those of other groups.
 BLOCK = 1_024
+#: Up to so many ids (8 MB) are broadcast to find their texts; more are joined by a shuffle.
+FEW_IDS = 1_000_000
 #: Words whose hashes a worker keeps.
 CACHE = 60_000
 
@@ -220,6 +222,17 @@ def _may_be_near(similarity: float, a: str, b: str) -> Column:
     return (F.least(n, m) + 1e-6 >= similarity * F.greatest(n, m)) & (apart * (1 + similarity) <= (n + m) * (1 - similarity) + 1e-6)
 
 
+def _share_enough(similarity: float, a: str, b: str) -> Column:
+    """Never false for near sets: what they share lies in both prefixes or behind one of them.
+
+    ``shared`` are the shingles of a prefix that other texts' prefixes have, ``behind`` is the number of shingles after it.
+    """
+    none = F.array().cast("array<int>")
+    both = F.size(F.array_intersect(F.coalesce(F.col(f"{a}.shared"), none), F.coalesce(F.col(f"{b}.shared"), none)))
+    most = both + F.greatest(F.col(f"{a}.behind"), F.col(f"{b}.behind"))
+    return most * (1 + similarity) + 1e-6 >= similarity * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, group_id) of all rows with an id; group_id is the smallest id of a group of near duplicates.
 
@@ -241,10 +254,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
 
     def links(pairs: DataFrame) -> DataFrame:
         """The near ones of ``pairs`` (a, b)."""
-        facts = texts.select("text_id", F.struct("n", "marks").alias("f"))
+        facts = texts.join(shared, "text_id", "left").select("text_id", F.struct("n", "marks", "shared", (F.col("n") - F.size("prefix")).alias("behind")).alias("f"))
         left, right = facts.select(F.col("text_id").alias("a"), F.col("f").alias("fa")), facts.select(F.col("text_id").alias("b"), F.col("f").alias("fb"))
-        likely = checkpointed(pairs.distinct().join(left, "a").join(right, "b").where(_may_be_near(similarity, "fa", "fb")).select("a", "b"))
-        wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
+        likely = checkpointed(pairs.distinct().join(left, "a").join(right, "b").where(_may_be_near(similarity, "fa", "fb") & _share_enough(similarity, "fa", "fb")).select("a", "b"))
+        wanted = checkpointed(likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct())
+        if wanted.count() <= FEW_IDS:
+            wanted = F.broadcast(wanted)
         sets = checkpointed(_shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), size))
         left, right = sets.select(F.col("doc_id").alias("a"), F.col("runs").alias("a_runs")), sets.select(F.col("doc_id").alias("b"), F.col("runs").alias("b_runs"))
         compared = likely.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("a_runs", "b_runs")))
@@ -258,17 +273,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     tables = keyed(texts.where("n > 0").select("text_id", "fp"), "fp", covering_masks(RADIUS))
     by_print = some_pairs(tables, "mask", "key")
     rows = checkpointed(some_pairs(texts.select("text_id", "n", F.posexplode("prefix").alias("at", "run")), "run"))
+    shared = checkpointed(rows.groupBy("text_id").agg(F.collect_list("run").alias("shared")))
     both = by_print.select("text_id", "_first", "_before").unionByName(rows.select("text_id", "_first", "_before")).where("_before is not null")
     pairs = both.select("text_id", F.explode(F.array("_first", "_before")).alias("o")).where("text_id <> o")
     found = links(pairs.select(F.greatest("text_id", "o").alias("a"), F.least("text_id", "o").alias("b")))
 
     # Buckets of several groups; their largest group is settled in itself.
     roots = components(found)
-    facts = texts.join(roots, texts.text_id == roots.node, "left").select("text_id", F.coalesce("root", "text_id").alias("root"), "marks")
+    facts = texts.join(roots, texts.text_id == roots.node, "left").select("text_id", F.coalesce("root", "text_id").alias("root"))
     rows = checkpointed(rows.select("run", "text_id", "n", "at").join(facts, "text_id"))
     groups = rows.groupBy("run", "root").agg(F.count(F.lit(1)).alias("rows"))
     mixed = groups.groupBy("run").agg(F.max_by("root", F.struct("rows", "root")).alias("largest"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    held = rows.join(mixed.select("run", "largest", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "run")
+    held = rows.join(mixed.select("run", "largest", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "run").join(texts.select("text_id", "marks"), "text_id")
     left = held.where("root <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = held.withColumn("block", F.pmod(F.xxhash64(F.lit(1), F.col("text_id")), F.col("blocks")).cast("int"))
     x, y = left.alias("x"), right.alias("y")
