@@ -38,8 +38,8 @@ from .common import slices
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: The pre-splitter's pattern: a fixed value.
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: Transitions, and words (of so many characters at most) with their ids, that a worker keeps: some 40 MB.
-MOVES, CACHE, CACHED_CHARS = 150_000, 60_000, 24
+#: Transitions, and words (of so many characters at most) with their ids, that a worker keeps, twice: some 80 MB.
+MOVES, CACHE, CACHED_CHARS = 150_000, 150_000, 24
 
 
 def byte_symbols() -> dict[str, int]:

@@ -187,22 +187,16 @@ def fit(texts: list[str], languages: list[str], buckets: int = 1 << 15, dim: int
                     segments.append(foreign(segments[-1], rng))
                     targets.append(len(names))
     targets = np.array(targets, np.int64)
-    vocabulary = sorted(set().union(*segments))
-    ids, counts = subwords(vocabulary, buckets) if vocabulary else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    grams = dict(zip(vocabulary, np.split(ids, np.cumsum(counts)[:-1]), strict=False))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         shuffled = rng.permutation(len(segments))
         for at in range(0, len(shuffled), 32):
             batch = shuffled[at : at + 32]
-            ids, weight, owner = [], [], []
-            for row, i in enumerate(batch):
-                for w in segments[i]:
-                    g = grams[w]
-                    ids.append(g)
-                    weight.append(np.full(len(g), 1 / (len(g) * len(segments[i]))))
-                    owner.append(np.full(len(g), row))
-            ids, weight, owner = np.concatenate(ids), np.concatenate(weight), np.concatenate(owner)
+            words = [w for i in batch for w in segments[i]]
+            sizes = np.array([len(segments[i]) for i in batch])
+            ids, counts = subwords(words, buckets)
+            owner = np.repeat(np.repeat(np.arange(len(batch)), sizes), counts)
+            weight = np.repeat(1 / (np.repeat(sizes, sizes) * counts), counts)
             hidden = np.zeros((len(batch), dim))
             np.add.at(hidden, owner, model.embeddings[ids] * weight[:, None])
             p = model.probabilities(hidden @ model.weights)

@@ -6,7 +6,8 @@ put together.  A query looks into the buckets of its nearest axes in each table.
 reranked by their inner product in double precision on the vectors as they are.
 
 The number of probes is fitted on a bounded sample: the fewest with which ``TARGET`` of the sample's
-true neighbours are found.  Every vector is indexed.  Equal vectors are indexed once, with their
+true neighbours are found, at every size of table.  Of near-orthogonal vectors many must be looked
+at for that; the share falls as the table grows (README has figures).  Every vector is indexed.  Equal vectors are indexed once, with their
 smallest ids, so a vector that a third of the rows share is one entry.  A bucket is cut into blocks of
 ``BLOCK`` vectors, and of as many queries, so that no group grows with the data; each block gives its
 best for each of its queries, and the best of these are the result.
@@ -29,9 +30,7 @@ TABLES = 8
 #: Vectors of a bucket, on average, from which on one more hash is put to the key.
 BUCKET = 8_192
 BLOCK = 4_096
-SAMPLE, SAMPLE_QUERIES, TARGET = 4_096, 256, 0.97
-#: With no more vectors than this all buckets are probed.
-FEW = 1_024
+SAMPLE, SAMPLE_QUERIES, TARGET = 4_096, 256, 0.95
 
 
 @dataclass
@@ -99,7 +98,7 @@ def fit(sample: np.ndarray, n: int, largest: float | None, k: int, tables: int =
     while n / (2.0 * width) ** hashes > BUCKET:
         hashes += 1
     index = Index(rng.choice([-1.0, 1.0], (tables, hashes, 3, width)), largest, 1)
-    if n <= FEW or len(sample) <= k + 1:
+    if len(sample) <= k + 1:  # everything is a neighbour
         index.probes = index.most_probes
         return index
     asked = rng.permutation(len(sample))[:SAMPLE_QUERIES]

@@ -125,7 +125,7 @@ def query_components(docs: DataFrame) -> DataFrame:
 
 
 #: For near duplicates by text: bits in which the prints of sets of words may differ to be candidates for certain.
-RADIUS = 3
+RADIUS = 2
 #: Texts whose shingles are counted to put rare ones first, texts of these that make a shingle
 #: frequent, and frequent shingles that are told apart.  They move the work, never the result.
 COUNTED, FREQUENT, TOLD_APART = 16_384, 3, 200_000
@@ -159,6 +159,17 @@ def _runs(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh32_intdigest(s) for s in shingles(words, size)], np.uint32).view(np.int32))
 
 
+def _digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, exact): a digest of the word sequence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = [xxhash.xxh3_128_hexdigest(b" ".join(words_of(t))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "exact"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, exact string")
+
+
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, runs array<int>): the set of 32-bit hashes of the shingles."""
 
@@ -248,8 +259,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     each near pair has been compared or was connected already.
     """
     known = docs.where(F.col("doc_id").isNotNull())
-    described = checkpointed(_prefixes(known, size, similarity))
-    one = described.groupBy("exact").agg(F.min(F.struct("doc_id", "fp", "n", "marks", "prefix")).alias("t"))
+    one = _prefixes(known, size, similarity).groupBy("exact").agg(F.min(F.struct("doc_id", "fp", "n", "marks", "prefix")).alias("t"))
     texts = checkpointed(one.select("exact", F.col("t.doc_id").alias("text_id"), "t.fp", "t.n", "t.marks", "t.prefix"))
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -270,9 +280,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
         order = Window.partitionBy(*bucket).orderBy(F.xxhash64("text_id"), "text_id")
         return rows.withColumns({"_first": F.first("text_id").over(order), "_before": F.lag("text_id").over(order), "_after": F.lead("text_id").over(order)}).where("_before is not null or _after is not null").drop("_after")
 
-    tables = keyed(texts.where("n > 0").select("text_id", "fp"), "fp", covering_masks(RADIUS))
+    tables = keyed(texts.where("n > 0").select("text_id", "fp"), "fp", covering_masks(RADIUS)).drop("fp")
     by_print = some_pairs(tables, "mask", "key")
-    rows = checkpointed(some_pairs(texts.select("text_id", "n", F.posexplode("prefix").alias("at", "run")), "run"))
+    rows = checkpointed(some_pairs(texts.select("text_id", F.posexplode("prefix").alias("at", "run")), "run"))
     shared = checkpointed(rows.groupBy("text_id").agg(F.collect_list("run").alias("shared")))
     both = by_print.select("text_id", "_first", "_before").unionByName(rows.select("text_id", "_first", "_before")).where("_before is not null")
     pairs = both.select("text_id", F.explode(F.array("_first", "_before")).alias("o")).where("text_id <> o")
@@ -281,10 +291,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     # Buckets of several groups; their largest group is settled in itself.
     roots = components(found)
     facts = texts.join(roots, texts.text_id == roots.node, "left").select("text_id", F.coalesce("root", "text_id").alias("root"))
-    rows = checkpointed(rows.select("run", "text_id", "n", "at").join(facts, "text_id"))
+    rows = checkpointed(rows.select("run", "text_id", "at").join(facts, "text_id"))
     groups = rows.groupBy("run", "root").agg(F.count(F.lit(1)).alias("rows"))
     mixed = groups.groupBy("run").agg(F.max_by("root", F.struct("rows", "root")).alias("largest"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    held = rows.join(mixed.select("run", "largest", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "run").join(texts.select("text_id", "marks"), "text_id")
+    held = rows.join(mixed.select("run", "largest", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "run").join(texts.select("text_id", "n", "marks"), "text_id")
     left = held.where("root <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = held.withColumn("block", F.pmod(F.xxhash64(F.lit(1), F.col("text_id")), F.col("blocks")).cast("int"))
     x, y = left.alias("x"), right.alias("y")
@@ -294,7 +304,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     pairs = x.join(y, same & enough & _may_be_near(similarity, "x", "y")).select(F.greatest("x.text_id", "y.text_id").alias("a"), F.least("x.text_id", "y.text_id").alias("b"))
     roots = components(found.unionByName(links(pairs)))
     groups = texts.join(roots, texts.text_id == roots.node, "left").select("exact", F.coalesce("root", "text_id").alias("group_id"))
-    return described.select("doc_id", "exact").join(groups, "exact").select("doc_id", "group_id")
+    return _digests(known).join(groups, "exact").select("doc_id", "group_id")
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
