@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
+#: Up to so many edges (3 MB) a round is one task without a shuffle; with more its steps are shuffled.
+FEW = 200_000
+
+
+def _pairs(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """A row (a, b) for each of ``pairs`` of columns of each row."""
+    each = F.explode(F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs)))
+    return rows.select(each.alias("_p")).select("_p.a", "_p.b")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the smallest node around it."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = _pairs(edges, ("a", "b"), ("b", "a"))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
     return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
@@ -19,20 +29,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its neighbours below are linked to the smallest of these."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     low = down.groupBy("a").agg(F.min("b").alias("low"))
-    linked = down.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    return linked.unionByName(low.select("a", F.col("low").alias("b"))).distinct()
+    return _pairs(down.join(low, "a"), ("b", "low"), ("a", "low")).where("a <> b").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b); root is the smallest node reachable.
 
-    Each round is two shuffles and one written checkpoint; it ends when the edges are stars, as seen
+    Each round is a few shuffles (none with ``FEW`` edges or less) and one written checkpoint; it ends when the edges are stars, as seen
     from a count and a sum over them.  The number of rounds grows with the logarithm of the longest
     path.  Self-loops are allowed, an empty table gives an empty result.
     """
-    edges = edges.select("a", "b").where("a <> b").distinct()
-    before = None
+    edges = checkpointed(edges.select("a", "b").where("a <> b").distinct())
+    few, before = edges.count() <= FEW, None
     for _ in range(most_rounds):
+        if few:
+            edges = edges.coalesce(1)  # no round adds edges
         edges = checkpointed(_small_star(_large_star(edges)))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:

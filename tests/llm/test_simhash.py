@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import defaultdict
 
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,7 +95,9 @@ def test_empty(spark):
     assert simhash.near_duplicates(empty(spark)).collect() == []
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_of_chains_and_stars(spark, monkeypatch, few):
+    monkeypatch.setattr("lexifold.llm.components.FEW", few)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(500, 500), (7, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
