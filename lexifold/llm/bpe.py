@@ -38,6 +38,8 @@ from .common import slices
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: The pre-splitter's pattern: a fixed value.
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: The same for texts that are all ASCII.
+_ASCII_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: Transitions, and words (of so many characters at most) with their ids, that a worker keeps, twice: some 80 MB.
 MOVES, CACHE, CACHED_CHARS = 150_000, 150_000, 24
 
@@ -162,7 +164,8 @@ class Automaton:
         if held:
             parts = re.split("(" + "|".join(sorted(map(re.escape, held), key=len, reverse=True)) + ")", text)
             return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self.encode(p) for p in parts if p)
-        return b"".join([self.cache.get(w) or self._word(w) for w in _WORDS.findall(text)])
+        known, word = self.cache.get, self._word
+        return b"".join([known(w) or word(w) for w in (_ASCII_WORDS if text.isascii() else _WORDS).findall(text)])
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
