@@ -74,7 +74,7 @@ def token_estimate(all_bytes: Column, code_bytes: Column) -> Column:
 
 def invalidation_cost(blocks: DataFrame) -> DataFrame:
     """(base, pos, cost): tokens that must be sent again when a resident block changes."""
-    after = Window.partitionBy("base").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    after = Window.partitionBy("base").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return blocks.where("resident").select("base", "pos", F.sum("tokens").over(after).alias("cost"))
 
 
@@ -95,6 +95,17 @@ def header(text: Column) -> tuple[Column, Column]:
     return keys, F.regexp_replace(line("exists to|existe para"), r"\.$", "")
 
 
+def note_lines(notes: DataFrame) -> DataFrame:
+    """(base, rel, line, text): the lines of notes outside fenced blocks, numbered from 1.
+
+    A line is inside if an odd number of fences came before it; the running count is over one note.
+    """
+    lines = notes.select("base", "rel", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    fence = F.col("text").rlike(r"^ {0,3}(```|~~~)")
+    before = F.count_if(fence).over(Window.partitionBy("base", "rel").orderBy("line"))
+    return lines.withColumn("_n", before).where(~fence & (F.col("_n") % 2 == 0)).select("base", "rel", (F.col("line") + 1).alias("line"), "text")
+
+
 def links(text: Column, pattern: str = r"\[\[([^\]|#]+)[^\]]*\]\]") -> Column:
     """Targets of wiki links (P10), or of another ``pattern``, outside fenced blocks and inline code."""
     bare = F.regexp_replace(F.regexp_replace(text, r"(?ms)^[ ]{0,3}(```|~~~).*?(^[ ]{0,3}\1[^\n]*$|\z)", ""), r"`[^`\n]*`", "")

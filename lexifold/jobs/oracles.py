@@ -132,6 +132,11 @@ def _with(select: str, **changed: str) -> str:
     return f"WITH {common}\n{select}"
 
 
+#: Documents as notes with the links of ``check_findings`` on their last line.
+LINKED = """n AS (SELECT doc_id, source AS base, doc_id::VARCHAR AS stem, CASE doc_id % 5 WHEN 3 THEN 'skills/' WHEN 4 THEN 'tools/' WHEN 2 THEN 'inbox/' ELSE 'knowledge/' END || doc_id || '.md' AS rel,
+  length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 5 AS line FROM documents)"""
+
+
 def _agreement(by: str, source: str) -> str:
     lead, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
     return f"""
@@ -287,7 +292,24 @@ SELECT conv_id, turns, md5(text) AS digest, array_to_string(keywords, '|') AS ke
         "token_estimate": f"SELECT doc_id, {tokens} AS tokens FROM documents",
         "invalidation_cost": f"SELECT source AS base, doc_id AS pos, sum({tokens}) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS cost FROM documents WHERE doc_id % 3 <> 0",
         "broken_refs": "SELECT l_partkey, count(*) AS refs FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 17 <> 0) GROUP BY 1",
-        "orphan_records": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+        "orphan_records": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
+        "check_findings": f"""
+WITH {LINKED}, records AS (SELECT DISTINCT base, 'r' || (doc_id % 40) AS key, CASE WHEN doc_id % 40 = 7 THEN 'r8' END AS replaces FROM n UNION SELECT DISTINCT base, 'u' || (doc_id % 3), NULL FROM n),
+later AS (SELECT base, replaces AS key, min(key) AS by_ FROM records WHERE replaces IS NOT NULL GROUP BY 1, 2), cited AS (SELECT base, rel, line, 'r' || (doc_id % 60) AS key FROM n),
+found AS (
+  SELECT base, rel, 'E01' AS code, 'no note ' || dst AS message, line FROM (SELECT base, rel, line, unnest([doc_id + 1, doc_id * 2])::VARCHAR AS dst FROM n) l ANTI JOIN (SELECT base, stem AS dst FROM n) USING (base, dst)
+  UNION ALL SELECT base, rel, 'E05', 'no record ' || key, line FROM cited ANTI JOIN records USING (base, key)
+  UNION ALL SELECT base, rel, 'W09', key || ' is replaced by ' || by_, line FROM cited JOIN later USING (base, key)
+  UNION ALL SELECT base, 'records', 'E06', key || ' is not cited', NULL FROM (SELECT DISTINCT base, key FROM records) ANTI JOIN cited USING (base, key) ANTI JOIN later USING (base, key))
+SELECT base, rel, code, message, coalesce(string_agg(DISTINCT line::VARCHAR, ','), '') AS lines FROM found GROUP BY ALL""",
+        "cross_base_references": f"WITH {LINKED} SELECT m.base, m.rel, m.to_base, m.to_rel FROM (SELECT base, rel, 'src' || (doc_id % 7) AS to_base, 'knowledge/' || (doc_id + 5) || '.md' AS to_rel FROM n) m SEMI JOIN (SELECT base AS to_base, rel AS to_rel FROM n) USING (to_base, to_rel) WHERE m.base <> m.to_base",
+        "note_degrees": f"""
+WITH {LINKED}, e AS (SELECT DISTINCT base || '/' || stem AS src, base || '/' || unnest([doc_id + 1, doc_id * 2]) AS dst FROM n)
+SELECT node, sum(o)::BIGINT AS cites, sum(i)::BIGINT AS cited_by FROM (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY 1""",
+        "judge_pairs": """
+SELECT lang, count_if(a = b) AS agreed, count_if(a <> b) AS disagreed, count_if(b IS NULL) AS only_first, count_if(a IS NULL) AS only_second FROM
+  (SELECT doc_id, lang, quality = 1 AS a FROM labels JOIN documents USING (doc_id) WHERE doc_id % 3 <> 0) FULL JOIN (SELECT doc_id, lang, toxic = 0 AS b FROM labels JOIN documents USING (doc_id) WHERE doc_id % 4 <> 0) USING (doc_id, lang) GROUP BY lang""",
+        "qa_accuracy": "SELECT lang, count(*) AS n, round(avg((quality = 1)::INT::DOUBLE), 6) AS accuracy FROM labels JOIN documents USING (doc_id) WHERE lang IS NOT NULL AND quality IS NOT NULL GROUP BY ROLLUP (lang)",
         "superseded_refs": "SELECT l_orderkey AS key, replaced_by, count(*) AS refs FROM lineitem JOIN (SELECT o_orderkey - 1 AS replaces, min(o_orderkey) AS replaced_by FROM orders WHERE o_orderkey % 9 = 0 GROUP BY 1) ON l_orderkey = replaces GROUP BY 1, 2",
         "link_graph_degree": """
 WITH e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem)

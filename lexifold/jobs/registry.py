@@ -329,7 +329,8 @@ def broken_refs(spark, sf_dir):
 
 
 def orphan_records(spark, sf_dir):
-    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers none of whose orders is still in part open."""
+    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 def superseded_refs(spark, sf_dir):
@@ -338,6 +339,47 @@ def superseded_refs(spark, sf_dir):
     return quality.superseded(cited, records)
 
 
+def _linked_notes(spark, sf_dir) -> DataFrame:
+    """Documents as notes, each with lines of its own behind its text: a fence with a link inside, links, a citation, a path."""
+    notes = corpus.document_notes(_documents(spark, sf_dir).select("doc_id", "source", "text"))
+    made = F.format_string("\n```\n[[hidden]]\n```\n[[%d]] `[[code]]` [[%d|twice]] [src:r%d] see src%d/knowledge/%d.md", F.col("doc_id") + 1, F.col("doc_id") * 2, F.col("doc_id") % 60, F.col("doc_id") % 7, F.col("doc_id") + 5)
+    return notes.withColumn("text", F.concat("text", made))
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    """Records of each base: cited ones, one that replaces another, and some that nobody cites."""
+    docs = _documents(spark, sf_dir).where("source is not null").select(F.col("source").alias("base"), "doc_id")
+    cited = docs.select("base", F.concat(F.lit("r"), F.col("doc_id") % 40).alias("key"), F.when(F.col("doc_id") % 40 == 7, F.lit("r8")).alias("replaces"))
+    return cited.unionByName(docs.select("base", F.concat(F.lit("u"), F.col("doc_id") % 3).alias("key"), F.lit(None).cast("string").alias("replaces"))).distinct()
+
+
+def check_findings(spark, sf_dir):
+    found = quality.findings(_linked_notes(spark, sf_dir), _records(spark, sf_dir))
+    return found.withColumn("lines", F.array_join("lines", ","))
+
+
+def cross_base_references(spark, sf_dir):
+    return quality.cross_references(_linked_notes(spark, sf_dir))
+
+
+def note_degrees(spark, sf_dir):
+    """Links between notes, each node with its base; broken links count as nodes too."""
+    edges = quality.note_links(_linked_notes(spark, sf_dir))
+    named = lambda c: F.concat_ws("/", "base", c)
+    return quality.degrees(edges.select(named("src").alias("src"), named("dst").alias("dst")))
+
+
+def judge_pairs(spark, sf_dir):
+    labels = read(spark, sf_dir, "labels").join(_documents(spark, sf_dir).select("doc_id", "lang"), "doc_id")
+    first = labels.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), "lang", (F.col("quality") == 1).alias("yes"))
+    return analytics.judge_pairs(first, labels.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("id"), "lang", (F.col("toxic") == 0).alias("yes")), ["lang"])
+
+
+def qa_accuracy(spark, sf_dir):
+    answers = read(spark, sf_dir, "labels").join(_documents(spark, sf_dir).select("doc_id", "lang"), "doc_id").select("lang", (F.col("quality") == 1).alias("right"))
+    return analytics.accuracy(answers, "lang").withColumn("accuracy", round6(F.col("accuracy")))
+
+
 def link_graph_degree(spark, sf_dir):
     edges = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
     return quality.degrees(edges)
@@ -383,6 +425,7 @@ QUERIES: dict[str, Query] = {
         abstention_matrix, judge_agreement, judge_by_group, alias_gate, latency_percentiles, session_owner_asof, session_routes,
         counted_log_fold, session_deposit, panel_ledger, handoff_state, conversation_notes, decompose_questions, redact_secrets,
         chunk_windows, html_extract, token_estimate, invalidation_cost, broken_refs, orphan_records, superseded_refs, link_graph_degree,
+        check_findings, cross_base_references, note_degrees, judge_pairs, qa_accuracy,
         dense_rank, dense_keyword_rrf, evidence_recall, stream_log_fold, stream_session_owner, stream_index_sync,
     )},
 }

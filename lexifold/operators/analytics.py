@@ -13,6 +13,21 @@ from ..functions.text import ALNUM, STOPWORDS, fulltext_tokens
 REFUSALS = ("library does not hold this", "the library does not", "nao possui", "não possui", "not found")
 
 
+def judge_pairs(first: DataFrame, second: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, agreed, disagreed, only_first, only_second): two judges (id, *by, yes) side by side, the unpaired of both counted."""
+    a, b = first.withColumnRenamed("yes", "_a"), second.withColumnRenamed("yes", "_b")
+    both = a.join(b, ["id", *by], "full")
+    count = lambda x, name: F.count_if(x).alias(name)
+    x, y = F.col("_a"), F.col("_b")
+    return both.groupBy(*by).agg(count(x == y, "agreed"), count(x != y, "disagreed"), count(y.isNull(), "only_first"), count(x.isNull(), "only_second"))
+
+
+def accuracy(answers: DataFrame, by: str) -> DataFrame:
+    """(``by``, n, accuracy): the share of right answers of each type, and overall where the type is null."""
+    known = answers.where(F.col(by).isNotNull() & F.col("right").isNotNull())
+    return known.rollup(by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("right").cast("double")).alias("accuracy"))
+
+
 def gold_by_passage(questions: DataFrame, texts: DataFrame, words: int = 8) -> DataFrame:
     """(qid, base, rel): files that hold the first ``words`` tokens of a question in a row.
 

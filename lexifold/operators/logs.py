@@ -36,8 +36,9 @@ def owners(events: DataFrame) -> DataFrame:
     Sessions are the unit of order; an event of a session that was never routed has no owner.
     """
     by = Window.partitionBy("session").orderBy("ts", "seq")
+    back = Window.partitionBy("session").orderBy(F.desc("ts"), F.desc("seq"))  # running frames in either direction take linear time
     before = F.last("agent", True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("agent", True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    after = F.last("agent", True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return events.withColumn("owner", F.coalesce(before, after))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parsers import links
+from ..functions.parsers import citations, links, note_lines
 
 #: Files that orient a reader and are no notes: fixed values.
 ORIENTATION = ("readme.md", "what-goes-here.md", "moved.md", "map.md", "agents.md", "claude.md")
@@ -67,6 +67,39 @@ def note_links(notes: DataFrame) -> DataFrame:
     return notes.select("base", F.col("stem").alias("src"), F.explode(links(F.col("text"))).alias("dst")).distinct()
 
 
+def findings(notes: DataFrame, records: DataFrame) -> DataFrame:
+    """(base, rel, code, message, lines): what a check of notes (base, rel, stem, text) against records (base, key, replaces) finds.
+
+    E01 a link to no note of the base, E05 a citation of no record, E06 a record that nobody cites and
+    none replaces, W09 a citation of a replaced record.  Findings of one file, code and message are one
+    row with their lines in order; a record's finding has no lines.
+    """
+    lines = note_lines(notes)
+    linked = lines.select("base", "rel", "line", F.explode(links(F.col("text"))).alias("dst"))
+    cited = lines.select("base", "rel", "line", F.explode(citations(F.col("text"))).alias("key"))
+    known = records.select("base", "key").distinct()
+    later = records.where("replaces is not null").groupBy("base", F.col("replaces").alias("key")).agg(F.min("key").alias("by"))
+    row = lambda code, message: ("base", "rel", F.lit(code).alias("code"), message.alias("message"), "line")
+    e01 = linked.join(notes.select("base", F.col("stem").alias("dst")), ["base", "dst"], "left_anti").select(*row("E01", F.concat(F.lit("no note "), "dst")))
+    e05 = cited.join(known, ["base", "key"], "left_anti").select(*row("E05", F.concat(F.lit("no record "), "key")))
+    w09 = cited.join(later, ["base", "key"]).select(*row("W09", F.concat("key", F.lit(" is replaced by "), "by")))
+    idle = known.join(cited.select("base", "key").distinct(), ["base", "key"], "left_anti").join(later, ["base", "key"], "left_anti")
+    e06 = idle.withColumns({"rel": F.lit("records"), "line": F.lit(None).cast("int")}).select(*row("E06", F.concat("key", F.lit(" is not cited"))))
+    found = e01.unionByName(e05).unionByName(w09).unionByName(e06)
+    return found.groupBy("base", "rel", "code", "message").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+
+
+def cross_references(notes: DataFrame) -> DataFrame:
+    """(base, rel, to_base, to_rel): files of other bases that a note names as ``base/path.md``.
+
+    A name is a whole run of path characters, so one that is part of a longer path is none.
+    """
+    named = notes.select("base", "rel", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\w.\-]+(?:/[\w.\-]+)+\.md)\b"), 1))).alias("_path"))
+    parts = named.select("base", "rel", F.substring_index("_path", "/", 1).alias("to_base"), F.regexp_replace("_path", "^[^/]*/", "").alias("to_rel"))
+    files = notes.select(F.col("base").alias("to_base"), F.col("rel").alias("to_rel")).distinct()
+    return parts.where("base <> to_base").join(files, ["to_base", "to_rel"], "left_semi").distinct()
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, cites, cited_by): distinct neighbours in both directions.
 

@@ -5,19 +5,17 @@ State and results are in the shared folder; every run has a folder of its own th
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import index, logs
+from ..sources.stages import ensure_folder
 
 
 def _folder(spark: SparkSession) -> str:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4()}"
+    return f"{ensure_folder(spark)}/stream-{uuid.uuid4()}"
 
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
