@@ -115,3 +115,10 @@ def links(text: Column, pattern: str = r"\[\[([^\]|#]+)[^\]]*\]\]") -> Column:
 def citations(text: Column) -> Column:
     """Keys of source pointers."""
     return links(text, r"\[src:([^\]]+)\]")
+
+
+def without_blocks(text: Column, tags: tuple[str, ...] = ("system-reminder", "task-notification")) -> Column:
+    """A message without what a machine wrapped into ``tags``; a block that never ends takes the rest along."""
+    for tag in tags:
+        text = F.regexp_replace(text, rf"(?s)<{tag}>.*?(?:</{tag}>|\z)", "")
+    return text

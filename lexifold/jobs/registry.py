@@ -14,7 +14,7 @@ from ..sources import corpus
 from ..sources.corpus import read
 from ..sources.stages import written
 from ..streaming import jobs as streams
-from . import oracles
+from . import notes, oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -432,8 +432,8 @@ QUERIES: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | notes.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracles.oracle_sql().items() if k in QUERIES}
+    return {k: v for k, v in oracles.oracle_sql().items() if k in QUERIES} | notes.oracle_sql()

@@ -28,6 +28,12 @@ def accuracy(answers: DataFrame, by: str) -> DataFrame:
     return known.rollup(by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("right").cast("double")).alias("accuracy"))
 
 
+def sampled(items: DataFrame, every: int, partitions: Sequence[str]) -> DataFrame:
+    """Every ``every``-th item (id, *partitions) of each partition by id, and all whose id ends in ``_abs``."""
+    nth = F.row_number().over(Window.partitionBy(*partitions).orderBy("id"))
+    return items.withColumn("_n", nth).where(((F.col("_n") - 1) % every == 0) | F.endswith("id", F.lit("_abs"))).drop("_n")
+
+
 def gold_by_passage(questions: DataFrame, texts: DataFrame, words: int = 8) -> DataFrame:
     """(qid, base, rel): files that hold the first ``words`` tokens of a question in a row.
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import STOPWORDS
 from ..sources.corpus import kind
 from . import fulltext, keyword
 
@@ -80,11 +82,18 @@ def choose_agents(keyword_hits: DataFrame, routable: Column | None = None) -> Da
     return ranked.where("nth = 1").select("qid", F.col("base").alias("agent"), "agent_score", "files", "contenders", F.when(F.col("runner_up") > 0, F.col("agent_score") / F.col("runner_up")).alias("agent_margin"))
 
 
-def ask(questions: DataFrame, entries: DataFrame, chunks: DataFrame, aliases: DataFrame | None = None, top: int = 10, n_entries: int | None = None) -> dict[str, DataFrame]:
+def fused_agents(fused: DataFrame) -> DataFrame:
+    """(qid, agent, agent_score): the base whose fused files sum highest, ties to the one ranked first."""
+    totals = fused.groupBy("qid", "base").agg(F.round(F.sum("rrf"), 9).alias("agent_score"), F.min("rank").alias("_at"))
+    nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("agent_score"), "_at"))
+    return totals.withColumn("_n", nth).where("_n = 1").select("qid", F.col("base").alias("agent"), "agent_score")
+
+
+def ask(questions: DataFrame, entries: DataFrame, chunks: DataFrame, aliases: DataFrame | None = None, top: int = 10, n_entries: int | None = None, stopwords: Sequence[str] = STOPWORDS) -> dict[str, DataFrame]:
     """Both scorers over a batch of questions, and all that follows; the plans share their scans."""
     n = entries.count() if n_entries is None else n_entries
-    asked = keyword.question_terms(questions, aliases)
-    ranked = keyword.route(asked, entries, n, top * keyword.OVERSAMPLE)
+    asked = keyword.question_terms(questions, aliases, stopwords)
+    ranked = keyword.route(asked, entries, n, top * keyword.OVERSAMPLE, stopwords)
     found = fulltext.round_robin(fulltext.search(asked, chunks, top * fulltext.OVERSAMPLE), top * fulltext.OVERSAMPLE)
     return {"asked": asked, "keyword": ranked, "text": found, "n": n}
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import idf, normalise
+from ..functions.text import STOPWORDS, idf, normalise
 
 #: Weights of a term by where an entry has it: fixed values.
 W_KEYWORD, W_PHRASE, W_TITLE, W_STEM, W_SUMMARY = 6.0, 10.0, 3.0, 3.0, 1.0
@@ -13,16 +15,16 @@ W_KEYWORD, W_PHRASE, W_TITLE, W_STEM, W_SUMMARY = 6.0, 10.0, 3.0, 3.0, 1.0
 OVERSAMPLE = 4
 
 
-def question_terms(questions: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def question_terms(questions: DataFrame, aliases: DataFrame | None = None, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
     """(qid, terms): a question's tokens, repeats kept, then what its aliases add.
 
     ``aliases`` (pos, alias, canonical) are matched against the question's own tokens, an alias of
     several words as a substring; words that are there already are not added.
     """
-    asked = questions.select("qid", normalise(F.col("question")).alias("terms"))
+    asked = questions.select("qid", normalise(F.col("question"), stopwords).alias("terms"))
     if aliases is None:
         return asked
-    table = aliases.select("pos", normalise(F.col("alias")).alias("a"), normalise(F.col("canonical")).alias("c")).where(F.size("a") > 0)
+    table = aliases.select("pos", normalise(F.col("alias"), stopwords).alias("a"), normalise(F.col("canonical"), stopwords).alias("c")).where(F.size("a") > 0)
     table = table.select("pos", F.array_join("a", " ").alias("norm"), F.size("a").alias("n"), "c")
     single = asked.select("qid", F.explode("terms").alias("norm")).distinct().join(table.where("n = 1"), "norm").select("qid", "pos", "c")
     several = phrase_matches(asked, table.where("n > 1").select("pos", "norm", "c")).select("qid", "pos", "c")
@@ -52,22 +54,22 @@ def phrase_matches(asked: DataFrame, phrases: DataFrame) -> DataFrame:
     return spans.join(two, "norm").select("qid", *phrases.columns).unionByName(longer.select("qid", *phrases.columns))
 
 
-def entry_terms(entries: DataFrame) -> DataFrame:
+def entry_terms(entries: DataFrame, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
     """(base, rel, term, weight): what an entry is found by, a row for each field and distinct term.
 
     A key is a keyword only if it is one written word and one token.
     """
     single = F.filter("keywords", lambda k: F.size(F.filter(F.split(F.trim(k), r"\s+"), lambda w: w != "")) == 1)
-    tokens = F.filter(F.transform(single, lambda k: normalise(k)), lambda t: F.size(t) == 1)
+    tokens = F.filter(F.transform(single, lambda k: normalise(k, stopwords)), lambda t: F.size(t) == 1)
     field = lambda terms, weight: F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight")))
-    every = F.concat(field(F.flatten(tokens), W_KEYWORD), field(normalise(F.col("title")), W_TITLE), field(normalise(F.col("stem")), W_STEM), field(normalise(F.col("purpose")), W_SUMMARY))
+    every = F.concat(field(F.flatten(tokens), W_KEYWORD), field(normalise(F.col("title"), stopwords), W_TITLE), field(normalise(F.col("stem"), stopwords), W_STEM), field(normalise(F.col("purpose"), stopwords), W_SUMMARY))
     return entries.select("base", "rel", F.explode(every).alias("t")).select("base", "rel", "t.*")
 
 
-def entry_phrases(entries: DataFrame) -> DataFrame:
+def entry_phrases(entries: DataFrame, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
     """(base, rel, pos, original, norm): keys of several tokens."""
     keys = entries.select("base", "rel", F.posexplode("keywords").alias("pos", "original"))
-    return keys.withColumn("norm", normalise(F.col("original"))).where(F.size("norm") > 1).withColumn("norm", F.array_join("norm", " "))
+    return keys.withColumn("norm", normalise(F.col("original"), stopwords)).where(F.size("norm") > 1).withColumn("norm", F.array_join("norm", " "))
 
 
 def document_frequency(terms: DataFrame) -> DataFrame:
@@ -75,20 +77,20 @@ def document_frequency(terms: DataFrame) -> DataFrame:
     return terms.select("base", "rel", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def route(asked: DataFrame, entries: DataFrame, n_entries: int, top: int = 10 * OVERSAMPLE) -> DataFrame:
+def route(asked: DataFrame, entries: DataFrame, n_entries: int, top: int = 10 * OVERSAMPLE, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
     """(qid, base, rel, score, matched, rank): the best entries of each question (Q1).
 
     ``asked`` is (qid, terms).  Each occurrence of a term counts; a phrase counts ten times the mean
     idf of its words.  ``matched`` lists phrases, then terms in the order of the question.
     """
-    terms = entry_terms(entries)
+    terms = entry_terms(entries, stopwords)
     df = document_frequency(terms)
     occurrences = asked.select("qid", F.posexplode("terms").alias("pos", "term"))
     wanted = occurrences.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"), F.min("pos").alias("pos"))
     wanted = wanted.join(df, "term").withColumn("idf", idf(F.col("df"), n_entries))
     by_term = wanted.join(terms, "term").select("qid", "base", "rel", (F.col("times") * F.col("idf") * F.col("weight")).alias("part"), F.struct(F.lit(1).alias("g"), "pos", F.col("term").alias("name")).alias("m"))
 
-    found = phrase_matches(asked, entry_phrases(entries))
+    found = phrase_matches(asked, entry_phrases(entries, stopwords))
     words = found.select("qid", "base", "rel", "pos", "original", F.explode(F.split("norm", " ")).alias("term")).join(df, "term", "left")
     by_phrase = words.groupBy("qid", "base", "rel", "pos", "original").agg((W_PHRASE * F.avg(idf(F.col("df"), n_entries))).alias("part"))
     by_phrase = by_phrase.select("qid", "base", "rel", "part", F.struct(F.lit(0).alias("g"), "pos", F.col("original").alias("name")).alias("m"))

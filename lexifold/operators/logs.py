@@ -1,4 +1,4 @@
-"""Counted logs, session ownership, rounds and hand-offs: folds over append-only events."""
+"""Counted logs, session ownership, rounds and hand-offs: folds over append-only events (A17, A20-A22, F13, J12, Q20-Q22, ST3, W11)."""
 
 from __future__ import annotations
 
@@ -86,3 +86,37 @@ def handoffs(events: DataFrame) -> DataFrame:
     claimed = F.min_by(F.when(F.col("action") == "claim", F.col("agent")), F.when(F.col("action") == "claim", F.struct("ts", "seq")))
     status = F.when(F.bool_or(F.col("action") == "complete"), "completed").when(F.bool_or(F.col("action") == "claim"), "claimed").otherwise("pending")
     return events.groupBy("session").agg(status.alias("status"), claimed.alias("claimed_by"), F.max("ts").alias("updated_at"))
+
+
+def sticky(events: DataFrame) -> DataFrame:
+    """(session, seq, agent, switched): each routing of a session and whether it changes the agent (ST3).
+
+    The first routing of a session switches, since no agent was there before.
+    """
+    by = Window.partitionBy("session").orderBy("ts", "seq")
+    routed = events.where("kind = 'routed'")
+    return routed.select("session", "seq", "agent", (~F.col("agent").eqNullSafe(F.lag("agent").over(by))).alias("switched"))
+
+
+def numbered(rounds: DataFrame) -> DataFrame:
+    """Objections (artifact, reviewer, at) with ``number`` in their artifact and ``seq`` for their reviewer, both by ``at``."""
+    number = F.row_number().over(Window.partitionBy("artifact").orderBy("at"))
+    seq = F.row_number().over(Window.partitionBy("artifact", "reviewer").orderBy("at"))
+    return rounds.withColumns({"number": number, "seq": seq})
+
+
+def panel_cost(seats: DataFrame) -> DataFrame:
+    """(artifact, reviewers, boot, reading, total) of seats (artifact, boot, reading): each reviewer boots and reads all."""
+    costs = seats.groupBy("artifact").agg(F.count(F.lit(1)).alias("reviewers"), F.sum("boot").alias("boot"), F.sum("reading").alias("reading"))
+    return costs.withColumn("total", F.col("boot") + F.col("reading"))
+
+
+def unsupported(proposals: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(proposal, distinct_sources, unknown, accepted) of proposals (proposal, source): evidence from two known sessions or more.
+
+    Blank sources do not count; a proposal with one unknown session is not accepted.
+    """
+    cited = proposals.withColumn("session", F.trim("source")).select("proposal", F.when(F.col("session") != "", F.col("session")).alias("session")).distinct()
+    known = sessions.select("session").distinct().withColumn("_known", F.lit(1))
+    counts = cited.join(known, "session", "left").groupBy("proposal").agg(F.count("session").alias("distinct_sources"), F.count_if(F.col("session").isNotNull() & F.col("_known").isNull()).alias("unknown"))
+    return counts.withColumn("accepted", (F.col("distinct_sources") >= 2) & (F.col("unknown") == 0))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.parsers import citations, links, note_lines
+from ..functions.parsers import citations, front_matter, links, note_lines
 
 #: Files that orient a reader and are no notes: fixed values.
 ORIENTATION = ("readme.md", "what-goes-here.md", "moved.md", "map.md", "agents.md", "claude.md")
@@ -109,3 +109,19 @@ def degrees(edges: DataFrame) -> DataFrame:
     edges = edges.select("src", "dst").distinct()
     ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     return ends.groupBy("node").agg(F.sum("o").alias("cites"), F.sum("i").alias("cited_by"))
+
+
+def with_provenance(hits: DataFrame, notes: DataFrame) -> DataFrame:
+    """``hits`` (base, rel, ...) with provenance, stage and captured_from of their note's front matter, null where it says none.
+
+    Only notes that were hit are parsed and shuffled; a hit without a note stays.
+    """
+    wanted = notes.join(hits.select("base", "rel").distinct(), ["base", "rel"], "left_semi").withColumn("_f", front_matter(F.col("text")))
+    said = wanted.select("base", "rel", *(F.element_at("_f", F.lit(k)).alias(k) for k in ("provenance", "stage", "captured_from")))
+    return hits.join(said, ["base", "rel"], "left")
+
+
+def listing(records: DataFrame) -> DataFrame:
+    """Good source records with their ``position`` in their base: newest reading first, then by key (Q11)."""
+    position = F.row_number().over(Window.partitionBy("base").orderBy(F.desc("retrieved_on"), "key"))
+    return records.where("error is null").withColumn("position", position)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalise, trigrams
+from ..functions.text import STOPWORDS, normalise, trigrams
 
 #: Least likeness of a suggestion, suggestions of a question; containment of a claim that is there
 #: already, and of one that brings something new: fixed values.
@@ -31,17 +33,17 @@ def look_alike(asked: DataFrame, offered: DataFrame, floor: float = SUGGEST_FLOO
     return pairs.select("word", "part", (2.0 * F.col("shared") / (F.col("n") + F.col("m"))).alias("likeness")).where(F.col("likeness") >= floor)
 
 
-def suggest(questions: DataFrame, entries: DataFrame, limit: int = SUGGESTIONS) -> DataFrame:
+def suggest(questions: DataFrame, entries: DataFrame, limit: int = SUGGESTIONS, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
     """(qid, keyword, likeness, rank): the keys that look most like a word of the question (Q5)."""
-    asked = questions.select("qid", F.explode(F.array_distinct(normalise(F.col("question")))).alias("word"))
-    keys = entries.select(F.explode("keywords").alias("keyword")).distinct().select("keyword", F.explode(F.array_distinct(normalise(F.col("keyword")))).alias("part"))
+    asked = questions.select("qid", F.explode(F.array_distinct(normalise(F.col("question"), stopwords))).alias("word"))
+    keys = entries.select(F.explode("keywords").alias("keyword")).distinct().select("keyword", F.explode(F.array_distinct(normalise(F.col("keyword"), stopwords))).alias("part"))
     alike = look_alike(asked.select("word").distinct(), keys.select("part").distinct())
     best = asked.join(alike, "word").join(keys, "part").groupBy("qid", "keyword").agg(F.round(F.max("likeness"), 9).alias("likeness"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("likeness"), "keyword"))
     return best.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def remember(claims: DataFrame, text_hits: DataFrame, chunks: DataFrame) -> DataFrame:
+def remember(claims: DataFrame, text_hits: DataFrame, chunks: DataFrame, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
     """(qid, outcome, containment, shared, missing, chunk_id): what the base already says of a claim (Q8).
 
     ``claims`` is (qid, terms), ``text_hits`` the chunks ranked for it; the chunk that holds most of
@@ -49,7 +51,7 @@ def remember(claims: DataFrame, text_hits: DataFrame, chunks: DataFrame) -> Data
     """
     words = claims.select("qid", F.array_distinct("terms").alias("words"))
     read = text_hits.where(F.col("rank") <= EVIDENCE_WIDTH).join(chunks.select("base", "chunk_id", "text"), ["base", "chunk_id"])
-    held = read.join(words, "qid").withColumn("own", normalise(F.col("text")))
+    held = read.join(words, "qid").withColumn("own", normalise(F.col("text"), stopwords))
     held = held.withColumns({"shared": F.sort_array(F.array_intersect("words", "own")), "missing": F.sort_array(F.array_except("words", "own"))})
     held = held.withColumn("containment", F.size("shared") / F.size("words"))
     first = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("containment"), "rank"))
