@@ -15,15 +15,20 @@ OVERSAMPLE = 6
 
 
 def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(base, term, chunk_id, rel, tf): weighted term frequencies; only of ``wanted`` (term) where given.
+    """(base, term, chunk_id, rel, private, length, tf): weighted term frequencies; only of ``wanted`` (term) where given.
 
-    Terms that nobody asks for go before the tokens are counted, so they are not shuffled.
+    Terms that nobody asks for go before the tokens are counted, so they are not shuffled.  What else
+    is known of a chunk rides along, so that no join has to fetch it.
     """
-    weighed = lambda column, weight: F.transform(fulltext_tokens(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
-    tokens = chunks.select("base", "rel", "chunk_id", F.explode(F.concat(weighed("heading", W_HEADING), weighed("text", W_TEXT))).alias("t")).select("base", "rel", "chunk_id", "t.*")
+    private = F.col("private") if "private" in chunks.columns else F.lit(False)
+    known = ("base", "rel", "chunk_id", "private", "length")
+    split = chunks.select("base", "rel", "chunk_id", private.alias("private"), fulltext_tokens(F.col("heading")).alias("_h"), fulltext_tokens(F.col("text")).alias("_t"))
+    weighed = lambda tokens, weight: F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+    split = split.withColumn("length", F.size("_h") + F.size("_t"))
+    tokens = split.select(*known, F.explode(F.concat(weighed("_h", W_HEADING), weighed("_t", W_TEXT))).alias("t")).select(*known, "t.*")
     if wanted is not None:
         tokens = tokens.join(wanted.select("term").distinct(), "term", "left_semi")
-    return tokens.groupBy("base", "term", "chunk_id", "rel").agg(F.sum("w").alias("tf"))
+    return tokens.groupBy("term", *known).agg(F.sum("w").alias("tf"))
 
 
 def base_statistics(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,16 +60,14 @@ def search(asked: DataFrame, chunks: DataFrame, top: int = 10 * OVERSAMPLE, publ
     ones are not found.  Larger scores are better.
     """
     posts = postings(chunks, asked.select(F.explode("terms").alias("term")))
-    length, bases = base_statistics(chunks)
+    _, bases = base_statistics(chunks)
     terms = pruned(asked, document_frequency(posts), bases, prune_from)
     n, df = F.col("n_chunks").cast("double"), F.col("df")
     raw = F.log((n - df + 0.5) / (df + 0.5))
     weight = F.when(raw <= 0, IDF_FLOOR).otherwise(raw)
-    scored = terms.withColumn("idf", weight).join(posts, ["base", "term"]).join(length, ["base", "chunk_id"]).join(bases.select("base", "mean_length"), "base")
+    scored = terms.withColumn("idf", weight).join(posts.where("not private") if public else posts, ["base", "term"]).join(bases.select("base", "mean_length"), "base")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     hits = scored.groupBy("qid", "base", "rel", "chunk_id").agg(F.round(F.sum(part), 9).alias("bm25"))
-    if public:
-        hits = hits.join(chunks.where("not private").select("base", "chunk_id"), ["base", "chunk_id"], "left_semi")
     rank = F.row_number().over(Window.partitionBy("qid", "base").orderBy(F.desc("bm25"), "chunk_id"))
     return hits.withColumn("base_rank", rank).where(F.col("base_rank") <= top)
 

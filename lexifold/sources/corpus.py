@@ -7,6 +7,10 @@ keys of the text).
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import pairwise
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,33 +69,46 @@ def document_notes(docs: DataFrame) -> DataFrame:
     )
 
 
-def mechanical_keys(texts: DataFrame, key: str = "doc_id", cap: int = KEYS) -> DataFrame:
-    """(key, keywords): frequent adjacent pairs, then words that no kept key contains.
+def ranked_keys(words: list[str | None], cap: int) -> list[str]:
+    """The keys of one text: words are null where they are left out, so that what is adjacent stays adjacent."""
+    order = lambda counts: sorted(counts, key=lambda k: (-counts[k], k))
+    pairs = Counter(f"{a} {b}" for a, b in pairwise(words) if a and b)
+    kept = order({k: c for k, c in pairs.items() if c > 1})[: cap // 3]
+    for word in order(Counter(w for w in words if w)):
+        if len(kept) >= cap:
+            break
+        if not any(word in k for k in kept):
+            kept.append(word)
+    return kept
+
 
-    Ordered by count, then alphabetically; pairs must occur twice and take a third of the places.
+def key_column(text: Column, cap: int = KEYS) -> Column:
+    """Frequent adjacent pairs, then words that no kept key contains (T14); none for a null or empty text.
+
+    Ordered by count, then alphabetically; pairs must occur twice and take a third of the places.  A text's
+    counts need no other text, so nothing is shuffled: words are cut by Spark and counted in Arrow batches.
     """
-    words = F.regexp_extract_all(F.lower(F.col("text")), F.lit(ALNUM), 1)
     stop = lambda w: (F.octet_length(w) < 4) | w.isin(*KEY_STOPWORDS)
-    # Words that are left out stay as nulls, so that what is adjacent stays adjacent.
-    split = texts.select(key, F.transform(words, lambda w: F.when(~stop(w), w)).alias("w"))
-    rest = F.greatest(F.size("w") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("w", F.lit(1), rest), F.slice("w", F.lit(2), rest), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat_ws(" ", a, b)))
-    item = lambda n, k: F.struct(F.lit(n).alias("n"), k.alias("k"))
-    items = F.concat(F.transform(F.array_compact("w"), lambda w: item(1, w)), F.transform(F.array_compact(pairs), lambda p: item(2, p)))
-    counted = split.select(key, F.explode(items).alias("i")).groupBy(key, "i.n", "i.k").agg(F.count(F.lit(1)).alias("c")).where("n = 1 or c >= 2")
-    ranked = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "k"))), lambda x: x["k"])
-    lists = counted.groupBy(key, "n").agg(ranked.alias("ks")).groupBy(key).agg(F.max(F.when(F.col("n") == 1, F.col("ks"))).alias("single"), F.max(F.when(F.col("n") == 2, F.col("ks"))).alias("pair"))
-    start = F.slice(F.coalesce("pair", F.array().cast("array<string>")), 1, cap // 3)
-    fill = lambda kept, k: F.when((F.size(kept) >= cap) | F.exists(kept, lambda h: F.contains(h, k)), kept).otherwise(F.concat(kept, F.array(k)))
-    return lists.select(key, F.aggregate(F.coalesce("single", F.array().cast("array<string>")), start, fill).alias("keywords"))
+    words = F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(ALNUM), 1), lambda w: F.when(~stop(w), w))
+
+    @F.arrow_udf("array<string>")
+    def keys(batch: pa.Array) -> pa.Array:
+        return pa.array([ranked_keys(row, cap) for row in batch.to_pylist()], pa.list_(pa.string()))
+
+    return keys(words)
+
+
+def mechanical_keys(texts: DataFrame, key: str = "doc_id", cap: int = KEYS) -> DataFrame:
+    """(key, keywords) of the texts that have any."""
+    return texts.select(key, key_column(F.col("text"), cap).alias("keywords")).where(F.size("keywords") > 0)
 
 
 def document_entries(docs: DataFrame) -> DataFrame:
     """(doc_id, base, rel, stem, title, purpose, keywords) of every document."""
     lines = F.split(F.col("text"), "\n", -1)
-    found = document_notes(docs).withColumns({"title": F.element_at(lines, 1), "purpose": F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit(""))})
-    keys = mechanical_keys(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    return found.drop("text").join(keys, "doc_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    found = document_notes(docs)
+    named = {"title": F.element_at(lines, 1), "purpose": F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")), "keywords": key_column(F.col("text"))}
+    return found.withColumns(named).drop("text")
 
 
 def windows(text) -> Column:
