@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_id, line_dedup, mixing, neighbours, sharding, simhash, toxicity, url_filter
+from . import bpe, collocations, fingerprints, language_id, line_dedup, mixing, neighbours, secrets, sharding, simhash, toxicity, url_filter, whitening
 from .common import checkpointed, table
 
 
@@ -106,6 +106,70 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.query(table(spark, sf_dir, "embeddings"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.query(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: (rank, kind, pattern, group, least) of the scan, spelt out for the oracle.
+_OP12_RULES = (
+    (0, "assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    (1, "access", "AKIA[A-Z0-9]+", 0, 20),
+    (2, "hex", "[0-9a-f]+", 0, 24),
+    (3, "pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    (4, "github", "gh[pousr]_[A-Za-z0-9]{36}", 0, 0),
+    (5, "slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    (6, "google", "AIza[A-Za-z0-9_-]{35}", 0, 0),
+    (7, "jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 0),
+)
+_OP12_FOUND = " UNION ALL ".join(
+    f"""SELECT n, {rank} AS rank, '{kind}' AS kind, pos, part, length(regexp_extract(part, '{pattern}', 0)) AS size, length(regexp_extract(part, '{pattern}', {group})) >= {least} AS enough
+        FROM (SELECT n, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM (SELECT n, regexp_extract_all(text, '(?s).*?(?:{pattern})') AS parts FROM docs))"""
+    for rank, kind, pattern, group, least in _OP12_RULES
+)
+OP12_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({_OP12_FOUND}),
+placed AS (SELECT n, rank, kind, size, enough, sum(length(part)) OVER (PARTITION BY n, rank ORDER BY pos) AS stop FROM found),
+spans AS (SELECT n, rank, kind, stop - size AS start, concat_ws(':', kind, (stop - size)::BIGINT, stop::BIGINT) AS said FROM placed WHERE enough)
+SELECT d.doc_id, count(s.n) FILTER (WHERE kind = 'assign') AS n_assign, count(s.n) FILTER (WHERE kind = 'access') AS n_access, count(s.n) FILTER (WHERE kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(said, ',' ORDER BY start, rank) FILTER (WHERE rank <= 2), '')) AS base_sha256,
+       coalesce(string_agg(said, ',' ORDER BY start, rank), '') AS spans
+FROM docs d LEFT JOIN spans s ON d.n = s.n GROUP BY d.n, d.doc_id
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), sizes(k) AS (VALUES (1), (2), (3), (4), (5)),
+grams AS (SELECT lang, k, unnest([array_to_string(ws[i:i + k - 1], ' ') FOR i IN range(1, len(ws) - k + 2)]) AS phrase FROM pieces, sizes WHERE len(ws) >= k),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k >= 2 AND f >= 100),
+hidden AS (
+  SELECT DISTINCT c.lang, c.phrase FROM candidates c JOIN candidates d
+  ON c.lang = d.lang AND d.size > c.size AND 100 * d.a >= 100 * c.a AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' ')
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, i AS k, array_to_string(c.w[1:i], ' ') AS first, array_to_string(c.w[i + 1:], ' ') AS rest
+  FROM candidates c ANTI JOIN hidden h ON c.lang = h.lang AND c.phrase = h.phrase, range(1, 5) t(i) WHERE i < c.size
+), scored AS (
+  SELECT x.lang, x.phrase, x.a, x.k, l.f AS l, r.f AS r, t.n, ((1000::HUGEINT * x.a * t.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts x JOIN counts l ON l.lang = x.lang AND l.phrase = x.first JOIN counts r ON r.lang = x.lang AND r.phrase = x.rest JOIN totals t ON t.lang = x.lang
+), worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM worst QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -118,8 +182,11 @@ def queries() -> dict[str, Query]:
         "op8_neighbours": op8_neighbours,
         "op9_fingerprints": op9_fingerprints,
         "op10_bpe": op10_bpe,
+        "op11_whitening": op11_whitening,
+        "op12_secrets": op12_secrets,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_url_filters": OP3_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_url_filters": OP3_SQL, "op12_secrets": OP12_SQL, "op13_collocations": OP13_SQL}
