@@ -42,7 +42,7 @@ from .common import checkpointed, shuffle_partitions
 LONGEST = 5
 LEAST = 100
 #: Bytes of text of a shard, and windows of a range, on average.
-SHARD, RANGE = 12_000_000, 2_000_000
+SHARD, RANGE = 4_000_000, 700_000
 #: Documents, about, and windows of each of them from which the cuts are drawn.
 SAMPLE, DRAWN = 4_096, 16
 
@@ -67,8 +67,8 @@ def _order(windows: np.ndarray, words: int) -> np.ndarray:
     """The order of windows (rows, LONGEST), by columns."""
     bits = max(1, int(words).bit_length())
     if bits * 3 <= 63:
-        high = (windows[:, 0] << 2 * bits) | (windows[:, 1] << bits) | windows[:, 2]
-        return np.lexsort(((windows[:, 3] << bits) | windows[:, 4], high))
+        packed = lambda *levels: sum(windows[:, k].astype(np.int64) << bits * (len(levels) - 1 - i) for i, k in enumerate(levels))
+        return np.lexsort((packed(3, 4), packed(0, 1, 2)))
     return np.lexsort(windows.T[::-1])
 
 
@@ -100,7 +100,7 @@ class Transducer:
         used = np.zeros(len(self.words) + 1, bool)
         used[windows.ravel()] = True
         used[0] = True
-        number = np.cumsum(used) - 1
+        number = (np.cumsum(used) - 1).astype(np.int32)
         return Transducer(self.words.filter(pa.array(used[1:])), number[windows], self.weights[low:high])
 
     def to_bytes(self) -> list[bytes]:
@@ -119,7 +119,7 @@ class Transducer:
     def from_bytes(cls, parts: list[bytes]) -> Transducer:
         lengths, weights = _unpacked(parts[1]), _unpacked(parts[2])
         words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(np.r_[0, np.cumsum(lengths)].astype(np.int64)), pa.py_buffer(parts[0])])
-        windows = np.zeros((len(weights), LONGEST), np.int64)
+        windows = np.zeros((len(weights), LONGEST), np.int32)
         follow = np.ones(len(weights), np.int64)  # windows behind each arc, from the last level up
         for level in range(LONGEST - 1, -1, -1):
             arcs = _unpacked(parts[3 + 2 * level])
@@ -134,10 +134,10 @@ class Transducer:
         """The sum of several: a path's weight is the sum of its weights in them."""
         every = pa.concat_arrays([t.words for t in parts])
         coded = every.dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64) + 1
+        codes = coded.indices.to_numpy().astype(np.int32) + np.int32(1)
         at, moved = 0, []
         for t in parts:
-            moved.append(np.r_[0, codes[at : at + len(t.words)]][t.windows])
+            moved.append(np.concatenate([np.zeros(1, np.int32), codes[at : at + len(t.words)]])[t.windows])
             at += len(t.words)
         return cls.counted(coded.dictionary, np.vstack(moved), np.concatenate([t.weights for t in parts]))
 
@@ -173,15 +173,15 @@ def shard(texts: pa.Array) -> Transducer:
     breaks[bounds] += 1
     starts = np.flatnonzero(word & (np.r_[True, ~word[:-1]] | opens))
     ends = np.flatnonzero(word & np.r_[~word[1:] | opens[1:], True]) + 1
-    piece = np.cumsum(breaks)[starts] if len(starts) else np.zeros(0, np.int32)
+    piece = np.cumsum(breaks, dtype=np.int32)[starts] if len(starts) else np.zeros(0, np.int32)
     lengths = ends - starts
     every = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.r_[0, np.cumsum(lengths)].astype(np.int64)), pa.py_buffer(data[word].tobytes())])
     coded = every.dictionary_encode()
     order = pc.sort_indices(coded.dictionary).to_numpy()
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(1, len(order) + 1)
-    ids = rank[coded.indices.to_numpy()] if len(starts) else np.zeros(0, np.int64)
-    windows = np.zeros((len(ids), LONGEST), np.int64)
+    ids = rank[coded.indices.to_numpy()] if len(starts) else np.zeros(0, np.int32)
+    windows = np.zeros((len(ids), LONGEST), np.int32)
     for k in range(LONGEST):
         m = max(0, len(ids) - k)
         windows[:m, k] = np.where(piece[len(ids) - m :] == piece[:m], ids[len(ids) - m :], 0)
