@@ -38,7 +38,11 @@ GOLD_LINE = """CASE item_id % 5 WHEN 0 THEN '# skip' WHEN 1 THEN 'question ' ||
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as notes with front matter, headings, fences, lines of keys and blank lines of their own."""
-    notes = corpus.document_notes(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return made_notes(corpus.document_notes(read(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+
+
+def made_notes(notes: DataFrame) -> DataFrame:
+    """Notes of documents with the parts of a written note put in."""
     body = f"array_join(transform(split(text, '\\n', -1), (s, i) -> {BEFORE} || s), '\\n')"
     return notes.withColumn("text", F.expr(f"{MATTER} || {body}".replace("chr(10)", "'\\n'")))
 

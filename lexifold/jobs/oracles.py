@@ -132,6 +132,11 @@ def _with(select: str, **changed: str) -> str:
     return f"WITH {common}\n{select}"
 
 
+#: Sessions that end after a day of rest.
+_PARTS = """, parts AS (SELECT *, count(*) FILTER (WHERE cut) OVER (PARTITION BY session ORDER BY ts, seq) AS part FROM (
+  SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session ORDER BY ts, seq) > 86400000000, false) AS cut FROM session_log))"""
+
+
 #: Documents as notes with the links of ``check_findings`` on their last line.
 LINKED = """n AS (SELECT doc_id, source AS base, doc_id::VARCHAR AS stem, CASE doc_id % 5 WHEN 3 THEN 'skills/' WHEN 4 THEN 'tools/' WHEN 2 THEN 'inbox/' ELSE 'knowledge/' END || doc_id || '.md' AS rel,
   length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 5 AS line FROM documents)"""
@@ -319,7 +324,8 @@ SELECT node, sum(o)::BIGINT AS cites, sum(i)::BIGINT AS cited_by FROM (SELECT sr
         "evidence_recall": _with("""SELECT q.qid, coalesce(golds, 0) AS golds, coalesce(found, 0) AS found, CASE WHEN golds IS NULL THEN 'no gold' WHEN found = golds THEN 'full' WHEN found > 0 THEN 'partial' ELSE 'none' END AS outcome
 FROM questions q LEFT JOIN (SELECT g.qid, count(*) AS golds, count(f.qid) AS found FROM gold g LEFT JOIN fused f USING (qid, base, rel) GROUP BY 1) USING (qid)"""),
         "stream_log_fold": _with("SELECT lower(question) AS key, count(*) AS count, strftime(min(ts), '%Y-%m-%d') AS first, strftime(max(ts), '%Y-%m-%d') AS last FROM session_log WHERE kind = 'refused' GROUP BY 1"),
-        "stream_session_owner": _with("SELECT session, seq, kind, owner FROM owned"),
+        "stream_session_owner": _with(f"{_PARTS} SELECT session, seq, kind, coalesce(last_value(agent IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first_value(agent IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS owner FROM parts WINDOW w AS (PARTITION BY session, part ORDER BY ts, seq)"),
+        "stream_sticky": _with(f"{_PARTS} SELECT session, seq, agent, agent IS DISTINCT FROM lag(agent) OVER (PARTITION BY session, part ORDER BY ts, seq) AS switched FROM parts WHERE kind = 'routed'"),
         "stream_index_sync": """
 SELECT source AS base, count_if(doc_id % 7 = 0) AS reindexed, count_if(doc_id % 7 <> 0 AND doc_id % 11 <> 0) AS unchanged, count_if(doc_id % 11 = 0) AS removed
 FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 11 <> 0 GROUP BY 1""",

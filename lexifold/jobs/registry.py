@@ -412,6 +412,10 @@ def stream_session_owner(spark, sf_dir):
     return streams.session_owner(spark, sf_dir)
 
 
+def stream_sticky(spark, sf_dir):
+    return streams.sticky(spark, sf_dir)
+
+
 def stream_index_sync(spark, sf_dir):
     return streams.index_sync(spark, sf_dir)
 
@@ -426,14 +430,18 @@ QUERIES: dict[str, Query] = {
         counted_log_fold, session_deposit, panel_ledger, handoff_state, conversation_notes, decompose_questions, redact_secrets,
         chunk_windows, html_extract, token_estimate, invalidation_cost, broken_refs, orphan_records, superseded_refs, link_graph_degree,
         check_findings, cross_base_references, note_degrees, judge_pairs, qa_accuracy,
-        dense_rank, dense_keyword_rrf, evidence_recall, stream_log_fold, stream_session_owner, stream_index_sync,
+        dense_rank, dense_keyword_rrf, evidence_recall, stream_log_fold, stream_session_owner, stream_sticky, stream_index_sync,
     )},
 }
 
 
 def queries() -> dict[str, Query]:
-    return QUERIES | notes.QUERIES
+    from . import library  # it is built from the queries above
+
+    return QUERIES | notes.QUERIES | library.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracles.oracle_sql().items() if k in QUERIES} | notes.oracle_sql()
+    from . import library
+
+    return {k: v for k, v in oracles.oracle_sql().items() if k in QUERIES} | notes.oracle_sql() | library.oracle_sql()

@@ -60,14 +60,18 @@ def search(asked: DataFrame, chunks: DataFrame, top: int = 10 * OVERSAMPLE, publ
     ones are not found.  Larger scores are better.
     """
     posts = postings(chunks, asked.select(F.explode("terms").alias("term")))
-    _, bases = base_statistics(chunks)
+    return scored(asked, posts, base_statistics(chunks)[1], top, public, prune_from)
+
+
+def scored(asked: DataFrame, posts: DataFrame, bases: DataFrame, top: int = 10 * OVERSAMPLE, public: bool = True, prune_from: int = PRUNE_CHUNKS) -> DataFrame:
+    """As ``search``, from postings of the asked terms and the (base, n_chunks, mean_length) of all chunks."""
     terms = pruned(asked, document_frequency(posts), bases, prune_from)
     n, df = F.col("n_chunks").cast("double"), F.col("df")
     raw = F.log((n - df + 0.5) / (df + 0.5))
     weight = F.when(raw <= 0, IDF_FLOOR).otherwise(raw)
-    scored = terms.withColumn("idf", weight).join(posts.where("not private") if public else posts, ["base", "term"]).join(bases.select("base", "mean_length"), "base")
+    found = terms.withColumn("idf", weight).join(posts.where("not private") if public else posts, ["base", "term"]).join(bases.select("base", "mean_length"), "base")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    hits = scored.groupBy("qid", "base", "rel", "chunk_id").agg(F.round(F.sum(part), 9).alias("bm25"))
+    hits = found.groupBy("qid", "base", "rel", "chunk_id").agg(F.round(F.sum(part), 9).alias("bm25"))
     rank = F.row_number().over(Window.partitionBy("qid", "base").orderBy(F.desc("bm25"), "chunk_id"))
     return hits.withColumn("base_rank", rank).where(F.col("base_rank") <= top)
 

@@ -83,12 +83,17 @@ def route(asked: DataFrame, entries: DataFrame, n_entries: int, top: int = 10 *
     ``asked`` is (qid, terms).  Each occurrence of a term counts; a phrase counts ten times the mean
     idf of its words.  ``matched`` lists phrases, then terms in the order of the question.
     """
+    return route_terms(asked, entry_terms(entries, stopwords), entry_phrases(entries, stopwords), n_entries, top)
+
+
+def route_terms(asked: DataFrame, every: DataFrame, phrases: DataFrame, n_entries: int, top: int = 10 * OVERSAMPLE) -> DataFrame:
+    """As ``route``, from what ``entry_terms`` and ``entry_phrases`` give."""
     occurrences = asked.select("qid", F.posexplode("terms").alias("pos", "term"))
     wanted = occurrences.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"), F.min("pos").alias("pos"))
-    found = phrase_matches(asked, entry_phrases(entries, stopwords))
+    found = phrase_matches(asked, phrases)
     # Only terms of the questions, and of the phrases in them, are counted.
     needed = wanted.select("term").unionByName(found.select(F.explode(F.split("norm", " ")).alias("term"))).distinct()
-    terms = entry_terms(entries, stopwords).join(needed, "term", "left_semi")
+    terms = every.join(needed, "term", "left_semi")
     df = document_frequency(terms)
     wanted = wanted.join(df, "term").withColumn("idf", idf(F.col("df"), n_entries))
     by_term = wanted.join(terms, "term").select("qid", "base", "rel", (F.col("times") * F.col("idf") * F.col("weight")).alias("part"), F.struct(F.lit(1).alias("g"), "pos", F.col("term").alias("name")).alias("m"))

@@ -23,3 +23,12 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` in the cluster's checkpoint folder."""
     ensure_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan has fewer tasks than there are, as that of one small file has.
+
+    A table of many splits is read as it lies, so nothing large is ever moved for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import index, logs
 from ..sources.stages import ensure_folder
+from . import sessions
 
 
 def _folder(spark: SparkSession) -> str:
@@ -46,15 +47,45 @@ def log_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("key", "n.count", day("first"), day("last"))
 
 
-def session_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events appended to the session log as they arrive; ownership is decided when the log is read (ST1, ST2).
+#: How late an event may be, and how long a session may rest, in the registered streams.
+LATENESS, GAP_SECONDS = "1 hour", 86_400
+
 
-    An event's owner may be routed to later in the session, so no batch alone can decide it.
+def owned_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``sessions.owned`` for the event table (ST1 to ST3).
+
+    The log is read to its end; then a heartbeat behind it goes into a second source, and the stream is
+    started again from its checkpoint, so that the watermark passes the last session and its timer fires.
     """
     folder = _folder(spark)
-    events = logs.session_events(_stream(spark, sf_dir, "events")).select("session", "seq", "ts", "kind", "agent")
-    _run(events.writeStream.format("parquet").option("path", f"{folder}/log"), folder)
-    return logs.owners(spark.read.parquet(f"{folder}/log")).select("session", "seq", "kind", "owner")
+    kinds = "session string, seq long, ts timestamp, kind string, agent string"
+    spark.createDataFrame([], kinds).write.parquet(f"{folder}/beats")
+    as_timestamp = lambda df: df.select("session", "seq", F.col("ts").cast("timestamp").alias("ts"), "kind", "agent")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for beat in (False, True):
+            if beat:
+                end = F.expr(f"max(ts) + interval {LATENESS} + interval {2 * GAP_SECONDS} seconds").cast("timestamp")
+                last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(end.alias("ts"))
+                row = {"session": F.lit(None).cast("string"), "seq": F.lit(0).cast("long"), "kind": F.lit("heartbeat"), "agent": F.lit(None).cast("string")}
+                last.withColumns(row).select("session", "seq", "ts", "kind", "agent").write.mode("append").parquet(f"{folder}/beats")
+            events = as_timestamp(logs.session_events(_stream(spark, sf_dir, "events"))).unionByName(spark.readStream.schema(kinds).parquet(f"{folder}/beats"))
+            _run(sessions.owned(events, LATENESS, GAP_SECONDS).writeStream.format("parquet").outputMode("append").option("path", f"{folder}/owned"), folder)
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(sessions.OWNED).parquet(f"{folder}/owned")
+
+
+def session_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the agent that owned its session when it came (ST2); a session ends after a day of rest."""
+    return owned_sessions(spark, sf_dir).select("session", "seq", "kind", "owner")
+
+
+def sticky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each routing of a session and whether it changes the agent (ST3)."""
+    return owned_sessions(spark, sf_dir).where("kind = 'routed'").select("session", "seq", "agent", "switched")
 
 
 def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
