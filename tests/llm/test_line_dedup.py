@@ -56,3 +56,12 @@ def test_hot_and_cold_paths_agree(spark, monkeypatch, hot_lines):
     monkeypatch.setattr(line_dedup, "HOT_LINES", hot_lines)
     rows = [(i, "\n".join(f"line number {(i * k) % 7} with enough letters" for k in range(130))) for i in range(40)]
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_texts_under_one_id_lose_their_own_lines_only(spark):
+    shared, own = "a line that many documents have", "PRECIOUS line that nobody else has here"
+    rows = [(1, f"{shared}\nfirst"), (1, f"{own}\nsecond"), (1, f"x\n{shared}"), (1, f"{shared}\nfirst"), (2, shared), (3, f"{own[:5]}\n{shared}"), (3, f"third\n{shared}"), (None, shared)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(docs) == brute(rows)
+    kept = [r.text for r in line_dedup.without_shared_lines(docs).collect()]
+    assert f"{own}\nsecond" in kept and kept.count("first") == 2 and "x" in kept
