@@ -1,23 +1,24 @@
 """Approximate nearest neighbours by cross-polytope hashing with multiprobe tables and exact reranking.
 
 A unit vector goes through three rounds of random sign flips and fast Hadamard transforms; the
-nearest signed axis is its hash.  With more than ``BUCKET`` vectors for each axis, several hashes are
-put together.  A query looks into the buckets of its nearest axes in each table.  Candidates are
-reranked by their inner product in double precision on the vectors as they are.
-
-The number of probes is fitted on a bounded sample: the fewest with which ``TARGET`` of the sample's
-true neighbours are found, at every size of table.  Of near-orthogonal vectors many must be looked
-at for that; the share falls as the table grows (README has figures).  Every vector is indexed.  Equal vectors are indexed once, with their
-smallest ids, so a vector that a third of the rows share is one entry.  A bucket is cut into blocks of
-``BLOCK`` vectors, and of as many queries, so that no group grows with the data; each block gives its
-best for each of its queries, and the best of these are the result.
+nearest signed axis is its hash.  A query looks into the buckets of its nearest axes in each table.
+Candidates are reranked by their inner product in double precision on the vectors as they are.
+
+Hashes in a key (one or two) and probes are fitted together on a bounded sample, and on nothing else: for
+each number of hashes the fewest probes with which ``TARGET`` of the sample's true neighbours are
+found, all buckets being probes if it takes that, then the number with which less is looked at.  The
+neighbours of a denser table lie nearer than those of the sample, so the recall holds at every size;
+how much is looked at depends on the vectors.  Near-orthogonal ones have a large share looked at
+(README has figures), clustered ones a small one.  Every vector is indexed.  Equal vectors are indexed
+once, with their smallest ids, so a vector that a third of the rows share is one entry.  A bucket is
+cut into blocks of ``BLOCK`` vectors, and of as many queries, so that no group grows with the data; each
+block gives its best for each of its queries, and the best of these are the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 TABLES = 8
-#: Vectors of a bucket, on average, from which on one more hash is put to the key.
-BUCKET = 8_192
 BLOCK = 4_096
-SAMPLE, SAMPLE_QUERIES, TARGET = 4_096, 256, 0.95
+SAMPLE, SAMPLE_QUERIES, TARGET = 4_096, 128, 0.95
+#: Keys of two hashes are tried if there are no more of them than this, and taken if they look at no more than this share of what keys of one do.
+MOST_KEYS, WORTH = 1 << 16, 0.5
 
 
 @dataclass
@@ -71,48 +72,51 @@ class Index:
 
     def probed(self, x: np.ndarray, table: int, probes: int) -> np.ndarray:
         """Buckets (rows, probes) of the nearest axes, nearest first."""
-        hashes, axes = self.signs.shape[1], 2 * x.shape[1]
-        sides = [self._axes(x, table, i) for i in range(hashes)]
-        each = axes if hashes == 1 else min(axes, 32 if hashes == 2 else 8)
-        best = [np.argsort(-s, axis=1)[:, :each] for s in sides]
-        values = [np.take_along_axis(s, b, 1) for s, b in zip(sides, best, strict=True)]
-        combos = np.array(list(product(range(each), repeat=hashes)))
-        total = sum(v[:, combos[:, i]] for i, v in enumerate(values))
-        order = np.argsort(-total, axis=1, kind="stable")[:, :probes]
-        code = np.zeros(order.shape, np.int64)
-        for i, b in enumerate(best):
-            code = code * axes + np.take_along_axis(b, combos[order, i], 1)
-        return code
+        sides = [self._axes(x, table, i) for i in range(self.signs.shape[1])]
+        total = sides[0]
+        for side in sides[1:]:  # every pair of axes is a bucket
+            total = (total[:, :, None] + side[:, None, :]).reshape(len(x), -1)
+        if probes < total.shape[1]:
+            some = np.argpartition(-total, probes - 1, axis=1)[:, :probes]
+            return np.take_along_axis(some, np.argsort(-np.take_along_axis(total, some, 1), axis=1, kind="stable"), 1)
+        return np.argsort(-total, axis=1, kind="stable")
 
     @property
     def most_probes(self) -> int:
-        axes, hashes = 2 * self.signs.shape[-1], self.signs.shape[1]
-        return axes if hashes == 1 else (32 if hashes == 2 else 8) ** hashes
+        return (2 * self.signs.shape[-1]) ** self.signs.shape[1]
 
 
-def fit(sample: np.ndarray, n: int, largest: float | None, k: int, tables: int = TABLES, seed: int = 0) -> Index:
-    """An index for ``n`` vectors: the fewest probes that find ``TARGET`` of the sample's ``k`` nearest."""
+def fit(sample: np.ndarray, largest: float | None, k: int, tables: int = TABLES, seed: int = 0) -> Index:
+    """The hashes and probes that find ``TARGET`` of the sample's ``k`` nearest and look at least at."""
     rng = np.random.default_rng(seed)
     width = 1 << max(1, int(np.ceil(np.log2(max(2, sample.shape[1] + (largest is not None))))))
-    hashes = 1
-    while n / (2.0 * width) ** hashes > BUCKET:
-        hashes += 1
-    index = Index(rng.choice([-1.0, 1.0], (tables, hashes, 3, width)), largest, 1)
-    if len(sample) <= k + 1:  # everything is a neighbour
-        index.probes = index.most_probes
-        return index
     asked = rng.permutation(len(sample))[:SAMPLE_QUERIES]
     near = sample[asked] @ sample.T
     near[np.arange(len(asked)), asked] = -np.inf
     truth = np.argsort(-near, axis=1)[:, :k]
-    stored, asking = index.lift(sample, False), index.lift(sample[asked], True)
-    first = np.full(truth.shape, index.most_probes)  # the probe that first finds each neighbour
-    for t in range(tables):
-        own = index.buckets(stored, t)[truth]
-        for p, code in enumerate(index.probed(asking, t, index.most_probes).T):
-            first = np.where((own == code[:, None]) & (p < first), p, first)
-    index.probes = min(index.most_probes, int(np.quantile(first, TARGET)) + 1)
-    return index
+    chosen, least = None, np.inf
+    for hashes in (1, 2):
+        index = Index(rng.choice([-1.0, 1.0], (tables, hashes, 3, width)), largest, 1)
+        if hashes > 1 and index.most_probes > MOST_KEYS:
+            break
+        if len(sample) <= k + 1:  # everything is a neighbour
+            index.probes = index.most_probes
+            return index
+        stored, asking = index.lift(sample, False), index.lift(sample[asked], True)
+        first = np.full(truth.shape, index.most_probes)  # the place in the order of probes that first finds each neighbour
+        counts = []
+        for t in range(tables):
+            codes = index.buckets(stored, t)
+            order = index.probed(asking, t, index.most_probes)
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.arange(order.shape[1])[None].repeat(len(order), 0), 1)
+            first = np.minimum(first, np.take_along_axis(place, codes[truth], 1))
+            counts.append(np.bincount(codes, minlength=index.most_probes).astype(np.uint16)[order])
+        index.probes = min(index.most_probes, int(np.quantile(first, TARGET, method="higher")) + 1)
+        looked = sum(int(c[:, : index.probes].sum()) for c in counts) / (len(asked) * len(sample))
+        if looked < least * (1.0 if chosen is None else WORTH):
+            chosen, least = index, looked
+    return chosen
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -121,8 +125,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, vector array<double>) of rows that take part, all of the most frequent length."""
-    parts = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector"))
+    """(vec_id, vector) of rows that take part, all of the most frequent length; floats stay floats, others are doubles."""
+    kind = "float" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "double"
+    parts = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{kind}>").alias("vector"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     parts = parts.where(F.col("vec_id").isNotNull() & F.forall("vector", finite) & F.exists("vector", lambda x: x != 0))
     sizes = parts.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
@@ -144,11 +149,11 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vector")
     asked = checkpointed(asked.join(entries.select("vector", "entry", "mark"), "vector").select("query_id", "entry", "mark"))
 
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     n, low, high = entries.agg(F.count(F.lit(1)), F.min(norm), F.max(norm)).first()
     sample = entries.orderBy(F.xxhash64("entry", "mark")).limit(SAMPLE).select("vector").collect()
-    points = np.array([r[0] for r in sample]) if sample else np.zeros((0, 1))
-    index = entries.sparkSession.sparkContext.broadcast(fit(points, n, high if n and high - low > 1e-6 * high else None, k))
+    points = np.array([r[0] for r in sample], np.float64) if sample else np.zeros((0, 1))
+    index = entries.sparkSession.sparkContext.broadcast(fit(points, high if n and high - low > 1e-6 * high else None, k))
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,14 +171,23 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
                     repeated = part.take(pa.array(np.repeat(np.arange(len(x)), code.shape[1])))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(code.size, t, np.int32)), pa.array(code.ravel()), *repeated.columns], ["t", "bucket", "entry", "mark", "vector"])
 
-    schema = "t int, bucket long, entry long, mark long, vector array<double>"
+    def counting(of):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in of(iter([batch])):
+                    yield part.select(["t", "bucket"])
+
+        return run
+
+    schema = f"t int, bucket long, entry long, mark long, vector {entries.schema['vector'].dataType.simpleString()}"
     source = entries.select("entry", "mark", "vector")
-    kept = source.mapInArrow(stored, schema)
-    asking = source.join(asked.select("entry", "mark").distinct(), ["entry", "mark"], "left_semi").mapInArrow(probing, schema)
+    wanted = checkpointed(source.join(asked.select("entry", "mark").distinct(), ["entry", "mark"], "left_semi"))
+    kept, asking = source.mapInArrow(stored, schema), wanted.mapInArrow(probing, schema)
 
     # Blocks: a bucket's vectors and its queries are dealt by a hash, each into as many as it takes.
     blocks = lambda df, name: df.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    deal = blocks(kept.select("t", "bucket"), "stored_in").join(blocks(asking.select("t", "bucket"), "asked_in"), ["t", "bucket"])
+    codes = lambda df, of: df.mapInArrow(counting(of), "t int, bucket long")  # noqa: E731  no vector leaves the task
+    deal = blocks(codes(source, stored), "stored_in").join(blocks(codes(wanted, probing), "asked_in"), ["t", "bucket"])
     deal = checkpointed(deal)
     share = lambda n: F.pmod(F.xxhash64("entry", "mark"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
