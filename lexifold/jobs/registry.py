@@ -12,7 +12,7 @@ from ..functions.text import fulltext_tokens, idf, normalise, round6
 from ..operators import analytics, ask, dense, fulltext, index, keyword, logs, quality, suggest
 from ..sources import corpus
 from ..sources.corpus import read
-from ..sources.stages import written
+from ..sources.stages import spread, written
 from ..streaming import jobs as streams
 from . import notes, oracles
 
@@ -23,7 +23,7 @@ ALIASES = [(0, "that", "worthless onthsh"), (1, "hein ti", "tisher"), (2, "unhea
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents")
+    return spread(read(spark, sf_dir, "documents"))
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,12 +436,12 @@ QUERIES: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    from . import library  # it is built from the queries above
+    from . import library, reading  # they are built from the queries above
 
-    return QUERIES | notes.QUERIES | library.QUERIES
+    return QUERIES | notes.QUERIES | library.QUERIES | reading.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import library
+    from . import library, reading
 
-    return {k: v for k, v in oracles.oracle_sql().items() if k in QUERIES} | notes.oracle_sql() | library.oracle_sql()
+    return {k: v for k, v in oracles.oracle_sql().items() if k in QUERIES} | notes.oracle_sql() | library.oracle_sql() | reading.oracle_sql()

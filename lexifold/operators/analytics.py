@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ALNUM, STOPWORDS, fulltext_tokens
+from ..sources.stages import written
 
 #: Words that say that an answer was refused: fixed values.
 REFUSALS = ("library does not hold this", "the library does not", "nao possui", "não possui", "not found")
@@ -34,15 +35,53 @@ def sampled(items: DataFrame, every: int, partitions: Sequence[str]) -> DataFram
     return items.withColumn("_n", nth).where(((F.col("_n") - 1) % every == 0) | F.endswith("id", F.lit("_abs"))).drop("_n")
 
 
+def holders(patterns: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pattern, base, rel): which texts (base, rel, text) hold which patterns (pattern, tokens) as runs of full-text tokens.
+
+    Many patterns are sought in many texts at once: a text that holds a pattern holds its rarest token,
+    so patterns and texts meet on that one, and only texts that may hold something are compared.  No runs
+    of texts are made.  A pattern without tokens is held by none.
+    """
+    asked = patterns.where(F.size("tokens") > 0).select("pattern", "tokens").distinct()
+    wanted = asked.select(F.explode("tokens").alias("token")).distinct()
+    own = texts.select("base", "rel", F.explode(F.array_distinct(fulltext_tokens(F.col("text")))).alias("token")).join(wanted, "token", "left_semi").distinct()
+    own = written(own)
+    df = own.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    each = asked.select("pattern", "tokens", F.explode(F.array_distinct("tokens")).alias("token")).join(df, "token", "left")
+    # A token that no text has leaves its pattern without candidates.
+    rarest = each.groupBy("pattern", "tokens").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("r")).where("r.df > 0")
+    may = written(rarest.select("pattern", F.array_join("tokens", " ").alias("_run"), F.col("r.token").alias("token")).join(own, "token").select("pattern", "_run", "base", "rel"))
+    read = texts.join(may.select("base", "rel").distinct(), ["base", "rel"], "left_semi").select("base", "rel", F.concat(F.lit(" "), F.array_join(fulltext_tokens(F.col("text")), " "), F.lit(" ")).alias("_text"))
+    return may.join(read, ["base", "rel"]).where(F.contains("_text", F.concat(F.lit(" "), "_run", F.lit(" ")))).select("pattern", "base", "rel").distinct()
+
+
 def gold_by_passage(questions: DataFrame, texts: DataFrame, words: int = 8) -> DataFrame:
-    """(qid, base, rel): files that hold the first ``words`` tokens of a question in a row.
+    """(qid, base, rel): files that hold the first ``words`` tokens of a question in a row; a question with fewer has none."""
+    tokens = fulltext_tokens(F.col("question"))
+    asked = questions.where(F.size(tokens) >= words).select(F.col("qid").alias("pattern"), F.slice(tokens, 1, words).alias("tokens"))
+    return holders(asked, texts).withColumnRenamed("pattern", "qid")
+
+
+def evidence_taxonomy(golds: DataFrame, served: DataFrame, ranked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(qid, golds, found, outcome, miss): how much of the evidence was served, and where what is missing was lost.
 
-    Runs of so many tokens are joined by equality; a question with fewer tokens has no gold.
+    ``golds`` are (qid, gold) texts, ``served`` is (qid, text), ``ranked`` (qid, base, rel) the files that were
+    ranked.  The outcome is full, partial or none.  If something is missing, the miss is ``slice`` where a
+    ranked file holds all golds of the question, ``route`` where another file does, else ``not-verbatim``.
+    All is compared by full-text tokens; golds without one do not count.
     """
-    asked = questions.select("qid", fulltext_tokens(F.col("question")).alias("t")).where(F.size("t") >= words).select("qid", F.array_join(F.slice("t", 1, words), " ").alias("run"))
-    own = texts.select("base", "rel", fulltext_tokens(F.col("text")).alias("t")).where(F.size("t") >= words)
-    runs = own.select("base", "rel", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t") - words + 1), lambda i: F.array_join(F.slice("t", i, F.lit(words)), " ")))).alias("run"))
-    return runs.join(asked, "run").select("qid", "base", "rel").distinct()
+    known = golds.select("qid", fulltext_tokens(F.col("gold")).alias("tokens")).where(F.size("tokens") > 0).distinct()
+    known = written(known.withColumn("pattern", F.array_join("tokens", " ")))
+    shown = served.groupBy("qid").agg(F.concat(F.lit(" "), F.array_join(F.transform(F.collect_list("text"), lambda t: F.array_join(fulltext_tokens(t), " ")), " | "), F.lit(" ")).alias("_shown"))
+    there = F.contains(F.coalesce("_shown", F.lit("")), F.concat(F.lit(" "), "pattern", F.lit(" ")))
+    counts = known.join(shown, "qid", "left").groupBy("qid").agg(F.count(F.lit(1)).alias("golds"), F.count_if(there).alias("found"))
+    held = known.select("qid", "pattern").join(holders(known.select("pattern", "tokens"), texts), "pattern").groupBy("qid", "base", "rel").agg(F.count(F.lit(1)).alias("_held"))
+    whole = held.join(counts.select("qid", "golds"), "qid").where("_held = golds").select("qid", "base", "rel")
+    near = whole.join(ranked.select("qid", "base", "rel").distinct().withColumn("_ranked", F.lit(True)), ["qid", "base", "rel"], "left")
+    where = near.groupBy("qid").agg(F.coalesce(F.bool_or("_ranked"), F.lit(False)).alias("_ranked"))
+    outcome = F.when(F.col("found") == F.col("golds"), "full").when(F.col("found") > 0, "partial").otherwise("none")
+    miss = F.when(F.col("found") == F.col("golds"), "").when(F.col("_ranked"), "slice").when(F.col("_ranked").isNotNull(), "route").otherwise("not-verbatim")
+    return counts.join(where, "qid", "left").select("qid", "golds", "found", outcome.alias("outcome"), miss.alias("miss"))
 
 
 def graded(answers: DataFrame, fused: DataFrame, gold: DataFrame) -> DataFrame:

@@ -56,11 +56,36 @@ def deposits(events: DataFrame) -> DataFrame:
     return owned.groupBy("session", "owner").agg(F.count_if(F.col("kind") == "refused").alias("refused"), F.count_if(F.col("kind") == "conclusion").alias("conclusions"), F.array_join(questions, "|").alias("questions"))
 
 
+#: What is heard as vague unless a reason is given, reasons, and what makes an objection constitutional: fixed values.
+VAGUE = ("i don't like the tone", "i don't like this approach", "feels wrong", "feels weird", "looks ugly", "feels a bit wordy", "needs more flair", "not a fan")
+REASONS = ("because", "violates")
+MARKERS = (
+    "invariant", "violates", "violation", "mechanism", "failure mode", "use-after-free", "memory", "leak", "race condition", "concurrency", "deadlock", "overflow",
+    "underflow", "rule", "adr-", "w03", "citation", "unbounded", "backpressure", "correctness", "security", "contract", "broken",
+    "regression", "crash", "panic", "false", "incorrect", "error", "untrue", "claim", "latency",
+)
+BRIEF_BYTES = 10
+
+
+def admissibility(text: Column, constitution: Column | None = None) -> Column:
+    """brief, vague, constitutional or advisory (F12): whether an objection is heard, and as what.
+
+    ``constitution`` is an array of lines; an objection that holds one of them, whatever its case, is
+    constitutional, as is one with a marker.  Brief and vague ones are not heard.
+    """
+    said = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    lower = F.lower(said)
+    holds = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(lower, w))
+    grounded = holds(MARKERS)
+    if constitution is not None:
+        lines = F.filter(F.transform(constitution, lambda x: F.lower(F.trim(x))), lambda x: x != "")
+        grounded = grounded | F.coalesce(F.exists(lines, lambda x: F.contains(lower, x)), F.lit(False))
+    return F.when(F.octet_length(said) < BRIEF_BYTES, "brief").when(holds(VAGUE) & ~holds(REASONS), "vague").when(grounded, "constitutional").otherwise("advisory")
+
+
 def admissible(text: Column) -> Column:
-    """Whether an objection is heard at all (F12): long enough, and vague openings only with a reason."""
-    vague = F.lower(text).rlike(r"^(i don't like|not good|bad|unclear|needs work)")
-    reasoned = F.lower(text).rlike(r"because|violates")
-    return (F.octet_length(F.trim(text)) >= 10) & (~vague | reasoned)
+    """Whether an objection is heard at all."""
+    return ~admissibility(text).isin("brief", "vague")
 
 
 def ledger(rounds: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, normalise, trigrams
+from ..sources.stages import written
 
 #: Least likeness of a suggestion, suggestions of a question; containment of a claim that is there
 #: already, and of one that brings something new: fixed values.
@@ -15,22 +16,40 @@ SUGGEST_FLOOR, SUGGESTIONS = 0.65, 8
 NOOP_AT, UPDATE_AT, EVIDENCE, EVIDENCE_WIDTH = 0.90, 0.55, 5, 25
 
 
-def _grams(words: DataFrame, name: str) -> DataFrame:
-    """(name, n, gram, times): the trigrams of distinct words."""
-    split = words.select(name, trigrams(F.col(name)).alias("g")).select(name, F.size("g").alias("n"), F.explode("g").alias("gram"))
-    return split.groupBy(name, "n", "gram").agg(F.count(F.lit(1)).alias("times"))
+def _sets(words: DataFrame, name: str) -> DataFrame:
+    """(name, grams): the trigrams of distinct words as sets, an occurrence's number told apart from the others' (gram, times)."""
+    own = trigrams(F.col(name))
+    numbered = F.transform(F.sequence(F.lit(1), F.size("_g")), lambda i: F.struct(F.element_at("_g", i).alias("gram"), F.size(F.filter(F.slice("_g", 1, i), lambda g: g == F.element_at("_g", i))).alias("nth")))
+    return words.withColumn("_g", own).where(F.size("_g") > 0).select(name, numbered.alias("grams"))
+
+
+def _prefixes(sets: DataFrame, name: str, rare: DataFrame, floor: float) -> DataFrame:
+    """(name, n, gram, at): of each set the rarest grams, as many as a partner must share one of, with their places."""
+    each = sets.select(name, F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(rare, "gram", "left")
+    place = F.row_number().over(Window.partitionBy(name).orderBy(F.coalesce("df", F.lit(0)), "gram"))
+    # A partner of m grams shares floor * (n + m) / 2 of them, and has no fewer than it shares.
+    least = F.ceil(F.round(floor * F.col("n") / (2 - floor), 9))
+    return each.withColumn("at", place).where(F.col("at") <= F.col("n") - least + 1).select(name, "n", "gram", "at")
 
 
 def look_alike(asked: DataFrame, offered: DataFrame, floor: float = SUGGEST_FLOOR) -> DataFrame:
-    """(word, part, likeness) of all pairs at or above ``floor`` by Dice over trigrams.
+    """(word, part, likeness) of all pairs at or above ``floor`` by Dice over trigrams as multisets.
 
-    ``asked`` has distinct ``word``, ``offered`` distinct ``part``.  Words that are alike share a
-    trigram, so an equi-join on trigrams finds all; sizes that cannot reach the floor are left out.
+    ``asked`` has distinct ``word``, ``offered`` distinct ``part``.  Pairs meet on their rarest trigrams
+    only: with grams in one order for all words, two sets that share enough share one of the first few of
+    each.  Sizes, and what can still follow behind the places of a shared gram, rule pairs out before
+    whole sets are compared.
     """
-    left, right = _grams(asked, "word"), _grams(offered, "part").withColumnsRenamed({"n": "m", "times": "others"})
-    reach = 2.0 * F.least("n", "m") >= floor * (F.col("n") + F.col("m"))
-    pairs = left.join(right, "gram").where(reach).groupBy("word", "n", "part", "m").agg(F.sum(F.least("times", "others")).alias("shared"))
-    return pairs.select("word", "part", (2.0 * F.col("shared") / (F.col("n") + F.col("m"))).alias("likeness")).where(F.col("likeness") >= floor)
+    left, right = written(_sets(asked.select("word").distinct(), "word")), written(_sets(offered.select("part").distinct(), "part"))
+    rare = right.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    a = _prefixes(left, "word", rare, floor)
+    b = _prefixes(right, "part", rare, floor).withColumnsRenamed({"n": "m", "at": "place"})
+    needed = F.round(floor * (F.col("n") + F.col("m")) / 2, 9)
+    reach = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place")) + F.least("at", "place") >= needed
+    met = a.join(b, "gram").where((F.least("n", "m") >= needed) & reach).select("word", "part").distinct()
+    both = met.join(left.withColumnRenamed("grams", "_a"), "word").join(right.withColumnRenamed("grams", "_b"), "part")
+    likeness = 2.0 * F.size(F.array_intersect("_a", "_b")) / (F.size("_a") + F.size("_b"))
+    return both.select("word", "part", likeness.alias("likeness")).where(F.col("likeness") >= floor)
 
 
 def suggest(questions: DataFrame, entries: DataFrame, limit: int = SUGGESTIONS, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:

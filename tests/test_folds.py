@@ -48,9 +48,28 @@ def test_handoffs(spark):
     assert got == {"s": ("claimed", "b"), "t": ("completed", None), "u": ("pending", None)}
 
 
-@pytest.mark.parametrize(("text", "ok"), [("too short", False), ("bad, because it breaks the rule", True), ("bad in every way I can think of", False), ("the second section contradicts the first", True)])
-def test_objections(spark, text, ok):
-    assert spark.range(1).select(logs.admissible(F.lit(text))).first()[0] == ok
+OBJECTIONS = [
+    ("too short", "brief"),
+    ("   nine ch   ", "brief"),
+    ("This feels wrong to me somehow", "vague"),
+    ("I am NOT A FAN of the second part", "vague"),
+    ("not a fan because it repeats itself", "advisory"),
+    ("this looks ugly and violates the layout", "constitutional"),
+    ("badly timed write to the log file", "advisory"),
+    ("the second section is a race condition in waiting", "constitutional"),
+    ("bad in every way I can think of", "advisory"),
+    ("it talks past the reader, Keep It Short please", "constitutional"),
+    (None, "brief"),
+]
+
+
+@pytest.mark.parametrize(("text", "verdict"), OBJECTIONS)
+def test_objections(spark, text, verdict):
+    said = F.lit(text).cast("string")
+    constitution = F.array(F.lit("  "), F.lit(" keep it short "))
+    got = spark.range(1).select(logs.admissibility(said, constitution), logs.admissible(said)).first()
+    assert tuple(got) == (verdict, verdict not in ("brief", "vague"))
+    assert spark.range(1).select(logs.admissibility(F.lit("it talks past the reader, keep it short"), F.lit(None).cast("array<string>"))).first()[0] == "advisory"
 
 
 def test_kappa(spark):
