@@ -4,9 +4,12 @@ A word is the mean of the embeddings of its hashed character n-grams (with word
 the mean of its words, and a linear layer with softmax gives the languages and one class more, for
 text of none of them.  The model is trained by stochastic gradient descent in numpy on segments of a
 bounded sample of labelled documents; examples of the last class are made of the same segments, with
-words reversed, letters shuffled or letters drawn at random.  A part of the sample is held back to
-set the temperature of the probabilities and, for texts of each length, the threshold under which a
-prediction is rejected.  Every word's share in the scores is computed once by each worker.
+words reversed, letters shuffled or letters drawn at random.  Beside it the model knows which buckets
+each language's texts have: a text's coverage is the mean share of its words' n-grams that its language
+has.  A part of the sample is held back to set the temperature of the probabilities and, for texts of
+each length, the probability and the coverage under which a prediction is rejected: the order
+statistic at ``REJECTED``, which is the lowest value held back where there are few, so that no table is
+too small to reject.  Every word's share in the scores is computed once by each worker.
 """
 
 from __future__ import annotations
@@ -30,9 +33,15 @@ _LATIN = re.compile("[A-Za-z]")
 SAMPLE, PIECES, PIECE = 640, 16, 64
 #: Rejected share of the calibration segments whose language was found.
 REJECTED = 0.001
+#: A text may be so many times less probable, and have so many times the share of n-grams that its language lacks, as the worst that was held back.
+SLACK = 1.5
 #: Words from which on a text has a threshold of its own, segments that are drawn of each held-back
 #: text for it, and segments that a threshold needs.
 BANDS, SEGMENTS, ENOUGH = (1, 2, 4, 8, 16, 32, 64, 128), 8, 50
+#: Texts that are held back for calibration: a tenth, but this many where that leaves two thirds.
+HELD_BACK = 40
+#: Examples that training goes through at least, the same ones again where the sample is small and has no more than so many letters.
+EXAMPLES, LETTERS = 12_000, 4_000_000
 #: Examples of no language for each segment.
 FOREIGN = 1.0
 #: Words that a worker keeps, and words that it reads at once.
@@ -75,16 +84,20 @@ class LanguageModel:
     temperature: float = 1.0
     #: (words from which on it holds, probability under which a prediction is rejected), ascending.
     thresholds: tuple[tuple[int, float], ...] = ()
+    #: Whether a language (column) has a bucket, and the least coverages, as ``thresholds``.
+    seen: np.ndarray | None = None
+    coverages: tuple[tuple[int, float], ...] = ()
 
-    def threshold(self, n_words: int) -> float:
-        return max((t for t in self.thresholds if t[0] <= n_words), default=(0, 0.0))[1]
+    def rejects(self, n_words: int, probability: float, coverage: float) -> bool:
+        of = lambda bands: max((t for t in bands if t[0] <= n_words), default=(0, 0.0))[1]
+        return bool(probability < of(self.thresholds) or coverage < of(self.coverages))
 
     def word_scores(self) -> np.ndarray:
-        """Each bucket's share in the scores: the layers are linear up to the softmax."""
-        return self.embeddings @ self.weights
+        """Each bucket's share in the scores, as the layers are linear up to the softmax, and in each language's coverage."""
+        return np.hstack([self.embeddings @ self.weights, self.seen if self.seen is not None else np.ones((len(self.embeddings), len(self.languages)))])
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
-        x = (logits + self.bias) / self.temperature
+        x = (logits[:, : len(self.bias)] + self.bias) / self.temperature
         x = np.exp(x - x.max(axis=-1, keepdims=True))
         return x / x.sum(axis=-1, keepdims=True)
 
@@ -112,7 +125,7 @@ class Scorer:
         self.known |= {w: start + i for i, w in enumerate(new)}
 
     def logits(self, texts: list[list[str]]) -> np.ndarray:
-        """The mean share of the words of each text (rows); a text without words has zeros."""
+        """The mean share of the words of each text (rows), scores first, then coverages; a text without words has zeros."""
         out, sizes = np.zeros((len(texts), self.table.shape[1])), np.zeros(len(texts))
         held: list[tuple[int, list[str]]] = []
         size = 0
@@ -140,14 +153,15 @@ class Scorer:
         if not languages:
             return [("und", 0.0, True)] * len(texts)
         words = [words_of(t) if has_letter(t) else None for t in texts]
-        p = self.model.probabilities(self.logits([w or [] for w in words]))
+        found = self.logits([w or [] for w in words])
+        p, covered = self.model.probabilities(found), found[:, len(languages) + 1 :]
         out = []
-        for w, own in zip(words, p, strict=True):
+        for w, own, has in zip(words, p, covered, strict=True):
             if w is None:
                 out.append(("und", 0.0, True))
             else:
                 best = int(own[: len(languages)].argmax())
-                out.append((languages[best], float(own[best]), bool(own[best] < self.model.threshold(len(w)))))
+                out.append((languages[best], float(own[best]), self.model.rejects(len(w), own[best], has[best])))
         return out
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
@@ -169,15 +183,19 @@ def foreign(words: list[str], rng: np.random.Generator) -> list[str]:
 
 
 def fit(texts: list[str], languages: list[str], buckets: int = 1 << 15, dim: int = 16, epochs: int = 3, rate: float = 2.0, seed: int = 0) -> LanguageModel:
-    """A model of ``texts`` and their ``languages``; a tenth of the texts is kept back for calibration."""
+    """A model of ``texts`` and their ``languages``; some of the texts are held back for calibration.  ``epochs`` are the fewest."""
     names = sorted(set(languages))
     rng = np.random.default_rng(seed)
     model = LanguageModel(names, rng.normal(0, 0.1, (buckets, dim)), np.zeros((dim, len(names) + 1)), np.zeros(len(names) + 1))
     order = rng.permutation(len(texts))
-    kept, learnt = order[: len(texts) // 10], order[len(texts) // 10 :]
+    back = max(len(texts) // 10, min(HELD_BACK, len(texts) // 3))
+    kept, learnt = order[:back], order[back:]
+    model.seen = np.zeros((buckets, len(names)))
     segments, targets = [], []
     for i in learnt:
         words = words_of(texts[i])
+        if words:
+            model.seen[subwords(words, buckets)[0], names.index(languages[i])] = 1.0
         for size in (2, 6, 20, 60):  # short texts must work as well
             if words:
                 start = rng.integers(0, max(1, len(words) - size + 1))
@@ -187,7 +205,10 @@ def fit(texts: list[str], languages: list[str], buckets: int = 1 << 15, dim: int
                     segments.append(foreign(segments[-1], rng))
                     targets.append(len(names))
     targets = np.array(targets, np.int64)
-    for epoch in range(epochs):
+    letters = sum(len(w) for words in segments for w in words)
+    again = min(-(-EXAMPLES // (32 * -(-max(1, len(segments)) // 32))), LETTERS // max(1, letters))  # in batches of 32
+    epochs = max(epochs, again)
+    for epoch in range(epochs if segments else 0):
         step = rate * (1 - epoch / epochs)
         shuffled = rng.permutation(len(segments))
         for at in range(0, len(shuffled), 32):
@@ -211,7 +232,7 @@ def fit(texts: list[str], languages: list[str], buckets: int = 1 << 15, dim: int
 
 
 def _calibrate(model: LanguageModel, texts: list[str], languages: list[str]) -> None:
-    """Temperature of least log loss; thresholds by the quantile ``REJECTED`` of the rightly found segments of each length."""
+    """Temperature of least log loss; least probability and coverage of each length by the order statistic at ``REJECTED`` of what was rightly found."""
     scorer = Scorer(model)
     split = [(words, model.languages.index(lang)) for t, lang in zip(texts, languages, strict=True) if (words := words_of(t))]
     if not split:
@@ -222,16 +243,19 @@ def _calibrate(model: LanguageModel, texts: list[str], languages: list[str]) ->
         model.temperature = float(t)
         losses[float(t)] = -np.log(np.maximum(model.probabilities(logits)[np.arange(len(right)), right], 1e-12)).mean()
     model.temperature = min(losses, key=losses.get)
-    rng, thresholds = np.random.default_rng(1), []
+    rng, thresholds, coverages = np.random.default_rng(1), [], []
     for size in BANDS:
         drawn = [(words[(at := int(rng.integers(0, len(words) - size + 1))) : at + size], y) for words, y in split if len(words) >= size for _ in range(SEGMENTS)]
         if not drawn:
             continue
-        p, y = model.probabilities(scorer.logits([words for words, _ in drawn])), np.array([y for _, y in drawn])
-        found = p[:, :-1].max(axis=1)[p[:, :-1].argmax(axis=1) == y]
-        if len(found) >= ENOUGH:  # too few segments for the quantile ask for less, in proportion
-            thresholds.append((size, float(np.quantile(found, REJECTED)) * min(1.0, REJECTED * len(found))))
-    model.thresholds = tuple(thresholds)
+        found, y = scorer.logits([words for words, _ in drawn]), np.array([y for _, y in drawn])
+        p = model.probabilities(found)
+        ok = p[:, :-1].argmax(axis=1) == y
+        if ok.sum() >= ENOUGH:  # longer texts are held to the band before
+            least = lambda x: float(np.quantile(x, REJECTED, method="lower"))
+            thresholds.append((size, least(p[ok, y[ok]]) / SLACK))
+            coverages.append((size, 1 - SLACK * (1 - least(found[ok, len(model.bias) + y[ok]]))))
+    model.thresholds, model.coverages = tuple(thresholds), tuple(coverages)
 
 
 def _pieces(text: str) -> str:
@@ -258,6 +282,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("string"), F.col("lang").cast("string"), "text")
     picked = sample_of_each(rows.select("doc_id", "lang"), "lang", sample)
     some = rows.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")
+    some = some.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # an id that occurs often teaches once
     taught = sorted(some.mapInArrow(run, "doc_id string, lang string, text string").collect())  # sample rows a language
     return fit([r.text for r in taught], [r.lang for r in taught]) if taught else LanguageModel([], np.zeros((1, 1)), np.zeros((1, 0)), np.zeros(0))
 

@@ -52,7 +52,10 @@ def test_word_shares_add_up_to_the_network():
     model = language_id.fit(["aa bb", "cc dd"] * 10, ["x", "y"] * 10)
     words = language_id.words_of("aa bb zz")
     hidden = np.mean([model.embeddings[language_id.subwords([w], len(model.embeddings))[0]].mean(axis=0) for w in words], axis=0)
-    assert np.allclose(language_id.Scorer(model).logits([words, []]), [hidden @ model.weights, np.zeros(3)])
+    found = language_id.Scorer(model).logits([words, []])
+    assert np.allclose(found[:, :3], [hidden @ model.weights, np.zeros(3)])
+    seen = np.mean([model.seen[language_id.subwords([w], len(model.embeddings))[0]].mean(axis=0) for w in words], axis=0)
+    assert np.allclose(found[:, 3:], [seen, np.zeros(2)]) and seen[0] > seen[1]
 
 
 def test_subwords_of_many_words_are_those_of_each():
@@ -62,6 +65,16 @@ def test_subwords_of_many_words_are_those_of_each():
     assert ids.tolist() == [i for w in words for i in language_id.subwords([w], 1 << 15)[0]]
 
 
+def test_few_texts_still_reject_and_an_id_teaches_once(spark):
+    rng = random.Random(5)
+    rows = [(i, sentence(rng, lang, 40), lang) for i, lang in enumerate(sorted(SYLLABLES) * 12)]
+    rows += [(0, "x" * 50, rows[0][2])] * 20  # one id with many other texts
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.thresholds and model.coverages and min(t for _, t in model.coverages) > 0
+    judged = language_id.Scorer(model).judge_all([" ".join("".join(rng.choices("qwxzvjkñ", k=6)) for _ in range(30)) for _ in range(20)])
+    assert sum(r for *_, r in judged) >= 18
+
+
 def test_what_is_kept_moves_no_score(monkeypatch):
     rng = random.Random(3)
     model = language_id.fit([sentence(rng, lang, 30) for lang in SYLLABLES for _ in range(30)], [lang for lang in SYLLABLES for _ in range(30)])
