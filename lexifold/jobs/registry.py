@@ -436,12 +436,12 @@ QUERIES: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    from . import files, library, reading  # they are built from the queries above
+    from . import admission, files, library, reading  # they are built from the queries above
 
-    return QUERIES | notes.QUERIES | library.QUERIES | reading.QUERIES | files.QUERIES
+    return QUERIES | notes.QUERIES | library.QUERIES | reading.QUERIES | files.QUERIES | admission.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import files, library, reading
+    from . import admission, files, library, reading
 
-    return {k: v for k, v in oracles.oracle_sql().items() if k in QUERIES} | notes.oracle_sql() | library.oracle_sql() | reading.oracle_sql() | files.oracle_sql()
+    return {k: v for k, v in oracles.oracle_sql().items() if k in QUERIES} | notes.oracle_sql() | library.oracle_sql() | reading.oracle_sql() | files.oracle_sql() | admission.oracle_sql()

@@ -24,14 +24,23 @@ def question_terms(questions: DataFrame, aliases: DataFrame | None = None, stopw
     asked = questions.select("qid", normalise(F.col("question"), stopwords).alias("terms"))
     if aliases is None:
         return asked
+    matched = alias_matches(asked, aliases, stopwords)
+    added = matched.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("more"))
+    more = F.array_distinct(F.flatten(F.transform("more", lambda m: m["c"])))
+    joined = asked.join(added, "qid", "left")
+    return joined.select("qid", F.when(F.col("more").isNull(), F.col("terms")).otherwise(F.concat("terms", F.filter(more, lambda w: ~F.array_contains("terms", w)))).alias("terms"))
+
+
+def alias_matches(asked: DataFrame, aliases: DataFrame, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
+    """(qid, pos, c): the aliases (pos, alias, canonical) that own tokens (qid, terms) call for, with the tokens they stand for.
+
+    An alias of one token matches that token, one of several a substring of the joined tokens; one without tokens nothing.
+    """
     table = aliases.select("pos", normalise(F.col("alias"), stopwords).alias("a"), normalise(F.col("canonical"), stopwords).alias("c")).where(F.size("a") > 0)
     table = table.select("pos", F.array_join("a", " ").alias("norm"), F.size("a").alias("n"), "c")
     single = asked.select("qid", F.explode("terms").alias("norm")).distinct().join(table.where("n = 1"), "norm").select("qid", "pos", "c")
     several = phrase_matches(asked, table.where("n > 1").select("pos", "norm", "c")).select("qid", "pos", "c")
-    added = single.unionByName(several).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("more"))
-    more = F.array_distinct(F.flatten(F.transform("more", lambda m: m["c"])))
-    joined = asked.join(added, "qid", "left")
-    return joined.select("qid", F.when(F.col("more").isNull(), F.col("terms")).otherwise(F.concat("terms", F.filter(more, lambda w: ~F.array_contains("terms", w)))).alias("terms"))
+    return single.unionByName(several)
 
 
 def phrase_matches(asked: DataFrame, phrases: DataFrame) -> DataFrame:
