@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analytics, gate, keyword
+from ..functions import replies
+from ..operators import analytics, gate, keyword, proposals
 from ..sources import corpus
 from ..sources.corpus import read
 from ..sources.stages import written
@@ -48,7 +49,44 @@ def alias_candidates(spark, sf_dir):
     return gate.judge(candidates, questions, gold, keyword.entry_terms(entries), keyword.entry_phrases(entries), n, registry._aliases(spark))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (alias_candidates,)}
+def _proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(reply, text, said): a reply for each document that proposes its text and a second note of its first words."""
+    text = F.coalesce("text", F.lit(""))
+    docs = read(spark, sf_dir, "documents").select("doc_id", text.alias("t"), F.split(text, "\n").getItem(0).alias("first"), F.filter(F.split(text, r"\s+"), lambda w: w != "").alias("w"))
+    word = lambda i: F.coalesce(F.try_element_at("w", F.lit(i)), F.lit(""))
+    d = F.col("doc_id")
+    lines = [
+        F.lit("Two notes.\nPROPOSAL"), F.concat(F.lit("slug: "), F.lower(word(1))), F.when(d % 7 != 3, F.concat(F.lit("  summary: "), F.left("first", F.lit(60)), F.lit(" .."))),
+        F.when(d % 7 != 0, F.concat(F.lit("keys: "), word(1), F.lit(", `"), word(2), F.lit("`,,"))), F.format_string("sources: %d, %d", d % 90, (d + d % 4) % 90),
+        F.when(d % 5 != 4, F.lit("body:")), F.when(d % 5 != 1, F.col("t")), F.when(d % 7 != 2, F.lit(" END")),
+        F.lit("PROPOSAL"), F.concat(F.lit("slug: "), word(3)), F.lit("folder: skills/made"), F.concat(F.lit("summary: "), word(4)), F.concat(F.lit("keys: "), word(5)), F.format_string("sources: %d, %d", d % 90, d % 90 + 1), F.lit("body:"), word(6),
+    ]
+    return docs.select(d.alias("reply"), F.concat_ws("\n", *lines).alias("text"), "t", "first")
+
+
+def proposals_report(spark, sf_dir):
+    """Proposed notes of all replies: what each block lacks, which sessions bear it out, and what its reviews say (P20)."""
+    replied = _proposed(spark, sf_dir)
+    sessions = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"))
+    blocks = written(proposals.borne_out(proposals.blocks(replied.select("reply", "text")), sessions))
+    fit = F.when(F.col("reply") % 6 == 0, F.concat(F.lit("I would say\n> **Verdict** : Reject, not accept\n- Reason: "), "first")).when(F.col("reply") % 6 == 1, F.col("t")).otherwise("Accepted.")
+    first = replied.select("reply", F.lit(1).alias("block"), F.lit("fit").alias("lens"), fit.alias("text"))
+    both = blocks.where("reply % 3 <> 0 or block = 1").select("reply", "block", F.lit("new").alias("lens"), F.lit("VERDICT: accept\nreason: fine").alias("text"))
+    notes = proposals.decided(blocks, first.unionByName(both)).join(blocks.drop("slug"), ["reply", "block"])
+    return notes.select("reply", "block", "slug", "folder", "summary", F.array_join("keys", "|").alias("keys"), F.array_join("refused", "|").alias("refused"), F.md5("body").alias("body"), "written", "reason")
+
+
+def refused_report(spark, sf_dir):
+    """Questions that the deposits of conversations list as refused, with how many deposits list each."""
+    turn = F.col("turn")
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")
+    line = F.concat(F.when(turn % 5 == 0, "## Questions the base could not answer\n").when(turn % 5 == 2, " # Refusals\n").when(turn % 5 == 3, "### Said\n").otherwise(""), F.when(turn % 4 != 3, "- ").otherwise("text "), said)
+    lines = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("s"))
+    items = lines.select("conv_id", F.explode(replies.refused_questions(F.array_join(F.transform("s", lambda x: x["line"]), "\n"))).alias("question"))
+    return items.groupBy("question").agg(F.count(F.lit(1)).alias("times"), F.count_distinct("conv_id").alias("deposits"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (alias_candidates, proposals_report, refused_report)}
 
 
 # The same as SQL for the oracle database.
@@ -85,5 +123,34 @@ SELECT cid, alias, canonical, reason = '' AS admitted, reason, CASE WHEN problem
   {', '.join(f'CASE WHEN problem IS NULL THEN {x}::BIGINT END AS {x}' for x in ('touched', 'file_before', 'agent_before', 'answered_before', 'file_after', 'agent_after', 'answered_after'))} FROM s"""
 
 
+_PROPOSALS = r"""WITH d AS (SELECT doc_id AS d, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10))[1] AS first, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '') AS w FROM documents),
+replies AS (SELECT d AS reply, t, first, concat_ws(chr(10), 'Two notes.', 'PROPOSAL', 'slug: ' || lower(coalesce(w[1], '')), CASE WHEN d % 7 <> 3 THEN '  summary: ' || left(first, 60) || ' ..' END,
+  CASE WHEN d % 7 <> 0 THEN 'keys: ' || coalesce(w[1], '') || ', `' || coalesce(w[2], '') || '`,,' END, 'sources: ' || d % 90 || ', ' || (d + d % 4) % 90, CASE WHEN d % 5 <> 4 THEN 'body:' END, CASE WHEN d % 5 <> 1 THEN t END, CASE WHEN d % 7 <> 2 THEN ' END' END,
+  'PROPOSAL', 'slug: ' || coalesce(w[3], ''), 'folder: skills/made', 'summary: ' || coalesce(w[4], ''), 'keys: ' || coalesce(w[5], ''), 'sources: ' || d % 90 || ', ' || (d % 90 + 1), 'body:', coalesce(w[6], '')) AS text FROM d),
+lines AS (SELECT reply, i, s, regexp_replace(s, '^\s+|\s+$', '', 'g') AS b FROM (SELECT reply, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS s FROM replies)),
+marks AS (SELECT *, lag(b) OVER (PARTITION BY reply ORDER BY i) AS before FROM lines WHERE b IN ('PROPOSAL', 'END')),
+opens AS (SELECT reply, i, row_number() OVER (PARTITION BY reply ORDER BY i) AS block FROM marks WHERE b = 'PROPOSAL' AND coalesce(before, 'END') = 'END'),
+owned AS (SELECT l.*, o.block, min(l.i) FILTER (WHERE l.b = 'END') OVER (PARTITION BY l.reply, o.block) AS stop FROM lines l ASOF JOIN opens o ON l.reply = o.reply AND l.i > o.i),
+inside AS (SELECT *, min(i) FILTER (WHERE b = 'body:') OVER (PARTITION BY reply, block) AS body_at FROM owned WHERE stop IS NULL OR i < stop),
+parts AS (SELECT reply, block, LABELS, coalesce(regexp_replace(string_agg(s, chr(10) ORDER BY i) FILTER (WHERE i > body_at), '^\s+|\s+$', '', 'g'), '') AS body FROM inside GROUP BY ALL),
+read_ AS (SELECT reply, block, coalesce(slug, '') AS slug, coalesce(nullif(folder, ''), 'knowledge') AS folder, regexp_replace(coalesce(summary, ''), '\.+$', '') AS summary, body,
+  list_filter(list_transform(string_split(coalesce(keys, ''), ','), lambda k: trim(trim(k), '`')), lambda k: k <> '') AS keys,
+  list_distinct(list_filter(list_transform(string_split(coalesce(sources, ''), ','), lambda k: trim(k)), lambda k: k <> '')) AS sources FROM parts),
+checked AS (SELECT *, list_concat(list_filter([CASE WHEN slug = '' THEN 'slug' END, CASE WHEN summary = '' THEN 'summary' END, CASE WHEN len(keys) = 0 THEN 'keys' END, CASE WHEN body = '' THEN 'body' END, CASE WHEN len(sources) < 2 THEN 'sessions' END], lambda x: x IS NOT NULL),
+  list_transform(list_sort(list_filter(sources, lambda s: NOT list_contains(us, s))), lambda s: 'unknown ' || s)) AS refused FROM read_, (SELECT list(DISTINCT user_id::VARCHAR) AS us FROM events)),
+said AS (SELECT c.*, CASE WHEN len(refused) > 0 THEN refused[1] WHEN block > 1 AND c.reply % 3 = 0 THEN 'not reviewed' WHEN block > 1 THEN ''
+  WHEN c.reply % 6 = 0 THEN 'fit: ' || coalesce(nullif(regexp_replace(replace(replace(first, '**', ''), '__', ''), '^\s+|\s+$', '', 'g'), ''), 'no reason given')
+  WHEN c.reply % 6 = 1 THEN 'fit: ' || CASE WHEN trim(regexp_replace(t, '\s+', ' ', 'g')) = '' THEN 'nothing was returned' ELSE 'no verdict: ' || left(trim(regexp_replace(t, '\s+', ' ', 'g')), 200) END ELSE '' END AS reason FROM checked c JOIN replies USING (reply)),
+done AS (SELECT * REPLACE (CASE WHEN reason = '' AND row_number() OVER (PARTITION BY folder, slug, reason = '' ORDER BY reply, block) > 1 THEN 'taken' ELSE reason END AS reason) FROM said)
+SELECT reply, block, slug, folder, summary, array_to_string(keys, '|') AS keys, array_to_string(refused, '|') AS refused, md5(body) AS body, reason = '' AS written, reason FROM done"""
+
+_REFUSED = r"""WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') AS s FROM conversations),
+l AS (SELECT *, CASE WHEN turn % 5 IN (0, 2) THEN true WHEN turn % 5 = 3 THEN false END AS heads FROM t),
+h AS (SELECT *, last_value(heads IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS inside FROM l)
+SELECT trim(s) AS question, count(*) AS times, count(DISTINCT conv_id) AS deposits FROM h WHERE inside AND turn % 4 <> 3 AND trim(s) <> '' GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"alias_candidates": _alias_candidates_sql()}
+    label = lambda n: f"max_by(trim(substring(b, {len(n) + 2})), i) FILTER (WHERE starts_with(b, '{n}:') AND (body_at IS NULL OR i < body_at)) AS {n}"
+    labels = ", ".join(map(label, ("slug", "folder", "summary", "keys", "sources")))
+    return {"alias_candidates": _alias_candidates_sql(), "proposals_report": _PROPOSALS.replace("LABELS", labels), "refused_report": _REFUSED}

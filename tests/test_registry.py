@@ -12,7 +12,8 @@ DATA = Path("/root/testdata/sf0.001")
 SAMPLE = ["normalise_tokens", "mechanical_keys", "keyword_route", "bm25_search", "suggest_terms", "triad_scores", "session_deposit", "latency_percentiles", "stream_log_fold", "stream_session_owner", "stream_index_sync", "decompose_questions",
           "check_findings", "cross_base_references", "note_degrees", "judge_pairs", "qa_accuracy", "orphan_records", "session_owner_asof", "invalidation_cost",
           "chunk_sections", "note_facets", "section_search", "source_records", "sources_listing", "csl_export", "line_marks", "base_settings", "gold_lines", "session_switches", "objection_numbers", "panel_costs", "evidence_sessions", "sampled_items",
-          "stream_sticky", "index_sync", "index_ask", "context_slices", "assembled_passages", "snippets", "evidence_taxonomy", "objection_admissibility", "misses_report", "log_reports", "blocks_report"]
+          "stream_sticky", "index_sync", "index_ask", "context_slices", "assembled_passages", "snippets", "evidence_taxonomy", "objection_admissibility", "misses_report", "log_reports", "blocks_report",
+          "alias_candidates", "proposals_report", "refused_report"]
 
 
 def test_names():
