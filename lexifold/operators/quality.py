@@ -92,9 +92,9 @@ def findings(notes: DataFrame, records: DataFrame) -> DataFrame:
 def cross_references(notes: DataFrame) -> DataFrame:
     """(base, rel, to_base, to_rel): files of other bases that a note names as ``base/path.md``.
 
-    A name is a whole run of path characters, so one that is part of a longer path is none.
+    A name is a whole run of path characters, letters of any script too, so one that is part of a longer path is none.
     """
-    named = notes.select("base", "rel", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\w.\-]+(?:/[\w.\-]+)+\.md)\b"), 1))).alias("_path"))
+    named = notes.select("base", "rel", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)([\w.\-]+(?:/[\w.\-]+)+\.md)\b"), 1))).alias("_path"))
     parts = named.select("base", "rel", F.substring_index("_path", "/", 1).alias("to_base"), F.regexp_replace("_path", "^[^/]*/", "").alias("to_rel"))
     files = notes.select(F.col("base").alias("to_base"), F.col("rel").alias("to_rel")).distinct()
     return parts.where("base <> to_base").join(files, ["to_base", "to_rel"], "left_semi").distinct()
