@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
@@ -18,18 +18,25 @@ def _pairs(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
     return rows.select(each.alias("_p")).select("_p.a", "_p.b")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_low(rows: DataFrame, few: bool) -> DataFrame:
+    """``rows`` with ``low``, the smallest b of each a: by a join, as one a may have very many rows, or by a window where they are ``few``.
+
+    Spark shuffles both sides of a join also where each is one partition; a window over one partition stays in it.
+    """
+    low: Column = F.min("b")
+    return rows.withColumn("low", low.over(Window.partitionBy("a"))) if few else rows.join(rows.groupBy("a").agg(low.alias("low")), "a")
+
+
+def _large_star(edges: DataFrame, few: bool = False) -> DataFrame:
     """Every neighbour above a node is linked to the smallest node around it."""
-    both = _pairs(edges, ("a", "b"), ("b", "a"))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    both = _with_low(_pairs(edges, ("a", "b"), ("b", "a")), few)
+    return both.where("b > a").select(F.col("b").alias("a"), F.least("low", "a").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool = False) -> DataFrame:
     """A node and its neighbours below are linked to the smallest of these."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    low = down.groupBy("a").agg(F.min("b").alias("low"))
-    return _pairs(down.join(low, "a"), ("b", "low"), ("a", "low")).where("a <> b").distinct()
+    return _pairs(_with_low(down, few), ("b", "low"), ("a", "low")).where("a <> b").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -44,8 +51,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if few:
             edges = edges.coalesce(1)  # no round adds edges
-        edges = checkpointed(_small_star(_large_star(edges)))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        edges = checkpointed(_small_star(_large_star(edges, few), few))
+        now = (edges.coalesce(1) if few else edges).agg(F.count(F.lit(1)), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now

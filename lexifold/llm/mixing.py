@@ -135,22 +135,23 @@ def plan(docs: DataFrame, entropy: float = 0.95, repeat: float = 2.0, budget: in
     bounded = lambda rows: F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.floor(F.col("rows") / rows))).cast("int")
     sources = temper(totals, entropy, repeat, budget).withColumns({"blocks": bounded(BLOCK_ROWS), "small": bounded(BLOCK_ROWS * BLOCKS)})
     sources = checkpointed(sources.drop("tokens", "rows"))
+    few = sources.count() <= BROADCAST_SOURCES
 
-    placed = _with_places(_by_source(narrow, sources.select("source", "blocks", "small", F.col("rest").alias("_left"))), "blocks", "small", seed)
+    placed = _with_places(_by_source(narrow, sources.select("source", "blocks", "small", F.col("rest").alias("_left")), few), "blocks", "small", seed)
     first = _crossing(placed, "_order")
-    inside = _by_source(placed.drop("_left"), first.withColumnRenamed("left", "_left")).where(F.col("_order") == F.col("at")).drop("at")
+    inside = _by_source(placed.drop("_left"), first.withColumnRenamed("left", "_left"), few).where(F.col("_order") == F.col("at")).drop("at")
     second = _crossing(inside, "_small")
-    inside = _by_source(inside.drop("_left"), second).where(F.col("_small") == F.col("at"))
+    inside = _by_source(inside.drop("_left"), second, few).where(F.col("_small") == F.col("at"))
     filled = inside.withColumn("_upto", F.sum("tokens").over(Window.partitionBy("source").orderBy("_place")))  # some BLOCK_ROWS rows of a source
     last = filled.where(F.col("_upto") <= F.col("left")).groupBy("source").agg(F.max("_place").alias("cut_place"))
-    out = _by_source(sources.drop("rest"), first.select("source", F.col("at").alias("cut_order")))
-    return _by_source(_by_source(out, second.select("source", F.col("at").alias("cut_small"))), last)
+    out = _by_source(sources.drop("rest"), first.select("source", F.col("at").alias("cut_order")), few)
+    return _by_source(_by_source(out, second.select("source", F.col("at").alias("cut_small")), few), last, few)
 
 
-def _by_source(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """Left join on the source, where null is a source too."""
+def _by_source(rows: DataFrame, facts: DataFrame, few: bool = False) -> DataFrame:
+    """Left join on the source, where null is a source too; ``few`` facts are broadcast, so that the rows are not shuffled by their sources."""
     facts = facts.withColumnRenamed("source", "_source")
-    return rows.join(facts, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    return rows.join(F.broadcast(facts) if few else facts, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
 
 
 def with_copies(docs: DataFrame, entropy: float = 0.95, repeat: float = 2.0, budget: int | None = None, seed: int = 17, tokens: Column | None = None) -> DataFrame:
@@ -163,9 +164,7 @@ def with_copies(docs: DataFrame, entropy: float = 0.95, repeat: float = 2.0, bud
     sized = docs.select("doc_id", "source", (n_tokens(F.col("text")) if tokens is None else tokens).alias("tokens"))
     cuts = checkpointed(plan(sized, entropy, repeat, budget, seed))
     facts = cuts.select("source", *(F.col(c).alias(f"_mix_{c}") for c in cuts.columns if c != "source"))
-    if cuts.count() <= BROADCAST_SOURCES:
-        facts = F.broadcast(facts)
-    placed = _with_places(_by_source(docs.drop("copies", "weight"), facts), "_mix_blocks", "_mix_small", seed)
+    placed = _with_places(_by_source(docs.drop("copies", "weight"), facts, cuts.count() <= BROADCAST_SOURCES), "_mix_blocks", "_mix_small", seed)
     order, small, place = (F.col(c) for c in ("_order", "_small", "_place"))
     cut, cut_small = F.col("_mix_cut_order"), F.col("_mix_cut_small")
     before = (order < cut) | ((order == cut) & ((small < cut_small) | ((small == cut_small) & F.coalesce(place <= F.col("_mix_cut_place"), F.lit(False)))))

@@ -111,6 +111,19 @@ def test_each_document_has_the_copies_of_the_permutation(spark, monkeypatch, bro
     assert all(r.copies >= 1 for r in got.values())
 
 
+def test_documents_are_not_shuffled_to_learn_of_few_sources(spark, monkeypatch):
+    plans, kept = [], mixing.checkpointed
+
+    def told(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(mixing, "checkpointed", told)
+    rows = [(i, "a b c", f"s{i % 7 % 4}") for i in range(300)]
+    assert mixing.with_copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).count() == 300
+    assert len(plans) > 4 and not any("Exchange hashpartitioning(coalesce(source" in p for p in plans)
+
+
 def test_same_whatever_the_partitions(spark):
     rows = [(i, "a b c", f"s{i % 7 % 4}") for i in range(1_500)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexifold.llm import simhash
+from lexifold.llm.common import checkpointed
 from lexifold.llm.components import components
 
 from .fixtures import ROWS, edge, empty, plain
@@ -103,6 +104,20 @@ def test_components_of_chains_and_stars(spark, monkeypatch, few):
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
 
 
+def test_rounds_over_few_edges_shuffle_and_broadcast_nothing(spark, monkeypatch):
+    """What the driver holds grows with its queries' exchanges: each is a job, a thread and a broadcast of its own."""
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpointed(df)
+
+    monkeypatch.setattr("lexifold.llm.components.checkpointed", kept)
+    got = {r.node: r.root for r in components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)}
+    assert len(plans) > 2 and not any("Exchange" in p for p in plans[1:])
+
+
 def test_near_duplicates_are_what_brute_force_links(spark):
     """Links are pairs of similarity 0.8 or more."""
     rng = random.Random(2)
