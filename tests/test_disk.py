@@ -14,6 +14,7 @@ DATA = Path("/root/testdata/sf0.01")
 #: Of 1.4 MB of documents, where what does not grow with them still counts for much.
 MOST = {
     "rrf_fuse": 3,
+    "evidence_recall": 4,
 }
 
 
