@@ -15,6 +15,7 @@ DATA = Path("/root/testdata/sf0.01")
 MOST = {
     "rrf_fuse": 3,
     "evidence_recall": 4,
+    "near_misses": 3,
 }
 
 
