@@ -16,6 +16,7 @@ MOST = {
     "rrf_fuse": 3,
     "evidence_recall": 4,
     "near_misses": 3,
+    "score_separation": 4,
 }
 
 
