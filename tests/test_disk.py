@@ -17,6 +17,7 @@ MOST = {
     "evidence_recall": 4,
     "near_misses": 3,
     "score_separation": 4,
+    "fused_agents": 3,
 }
 
 
