@@ -18,6 +18,7 @@ MOST = {
     "near_misses": 3,
     "score_separation": 4,
     "fused_agents": 3,
+    "snippets": 6,
 }
 
 
