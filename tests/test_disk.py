@@ -19,6 +19,7 @@ MOST = {
     "score_separation": 4,
     "fused_agents": 3,
     "snippets": 6,
+    "evidence_taxonomy": 5,
 }
 
 
