@@ -20,6 +20,7 @@ MOST = {
     "fused_agents": 3,
     "snippets": 6,
     "evidence_taxonomy": 5,
+    "index_postings": 8,
 }
 
 
