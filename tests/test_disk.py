@@ -21,6 +21,7 @@ MOST = {
     "snippets": 6,
     "evidence_taxonomy": 5,
     "index_postings": 8,
+    "index_sync": 8,
 }
 
 
