@@ -22,6 +22,7 @@ MOST = {
     "evidence_taxonomy": 5,
     "index_postings": 8,
     "index_sync": 8,
+    "index_ask": 10,
 }
 
 
