@@ -23,6 +23,7 @@ MOST = {
     "index_postings": 8,
     "index_sync": 8,
     "index_ask": 10,
+    "stream_index_upsert": 8,
 }
 
 
