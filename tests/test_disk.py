@@ -24,6 +24,7 @@ MOST = {
     "index_sync": 8,
     "index_ask": 10,
     "stream_index_upsert": 8,
+    "stream_ask": 12,
 }
 
 
